@@ -115,7 +115,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best)
     # Most texts have no copy; only groups of two or more need the join.
     shared = groups.filter("group_size > 1").select("level", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
-    joined = rows.join(shared, ["level", "name"], "left")
+    joined = rows.join(scratch.write(shared, "shared"), ["level", "name"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
