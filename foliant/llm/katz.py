@@ -305,6 +305,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     asked = scratch.write(ask(docs, buckets), "asked", ["kind"])
     word_answers = scratch.write(answer(asked, "word", buckets), "words", ["kind"])
     pair_answers = scratch.write(answer(asked, "pair", buckets), "pairs", ["kind"])
+    scratch.drop("asked/kind=pair")  # answered; no later step reads these messages
     model = Model(gather_facts(word_answers, "word"), gather_facts(pair_answers, "pair"))
     answered = asked.filter("kind = 'seq'").unionByName(word_answers.filter("kind = 'word_counts'")).unionByName(pair_answers.filter("kind = 'pair_counts'"))
     sums = scratch.write(history_sums(answered, model, buckets, buckets), "sums")
