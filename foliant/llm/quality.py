@@ -15,6 +15,7 @@ of one class to learn from, every score is the share of class 1 (0.5 without any
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,28 +32,26 @@ class Features:
     """Sets of hashed features of byte strings."""
 
     def __init__(self):
-        self.memo = C.Memo(lambda words: [xxhash.xxh64_intdigest(w) for w in words], 500_000)
+        self.memo = C.Memo(lambda words: [xxhash.xxh64_intdigest(w) for w in words], 200_000)
         self.flags = np.zeros(2 * SLOTS, np.float32)
 
-    def hashed(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Feature numbers of each text, repeats included."""
+    def hashed(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Feature numbers of each text, repeats included; one text's at a time, as they take many times its size."""
         split = [t.split() for t in texts]
         known = self.memo.lookup(w for s in split for w in s)
-        out = []
         for t, s in zip(texts, split):
             b = np.frombuffer(t, np.uint8).astype(np.uint32)
             grams = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(14) if len(b) > 2 else np.empty(0, np.uint32)
             w = np.fromiter(map(known.__getitem__, s), np.uint64, len(s))
             pairs = C.mix64(w[:-1] * np.uint64(3) + w[1:])
             words = np.concatenate([w, pairs]) >> np.uint64(46)
-            out.append(np.concatenate([grams.astype(np.int64), words.astype(np.int64) + SLOTS]))
-        return out
+            yield np.concatenate([grams.astype(np.int64), words.astype(np.int64) + SLOTS])
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
         for i in self.hashed(texts):
             self.flags[i] = 1
-            out.append(np.flatnonzero(self.flags))
+            out.append(np.flatnonzero(self.flags).astype(np.int32))
             self.flags[i] = 0
         return out
 
