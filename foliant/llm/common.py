@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator
@@ -55,8 +57,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def collect_garbage(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished steps."""
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark's cleaner remove the shuffle files of finished steps: once no plan of theirs is held, here or in the JVM."""
+        gc.collect()
+        for _ in range(2):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.1)
 
 
 def buckets_for(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20) -> int:

@@ -310,4 +310,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     answered = asked.filter("kind = 'seq'").unionByName(word_answers.filter("kind = 'word_counts'")).unionByName(pair_answers.filter("kind = 'pair_counts'"))
     sums = scratch.write(history_sums(answered, model, buckets, buckets), "sums")
     weighed = scratch.write(weights(asked, sums, buckets), "weights")
+    scratch.drop("sums", "asked/kind=word")
     return scores(answered.unionByName(weighed), model, buckets)
