@@ -79,3 +79,8 @@ def first_match(c: Column, rules: list[tuple[str, str]], default: str) -> Column
     for name, pattern in rules:
         out = F.when(c.rlike(pattern), name) if out is None else out.when(c.rlike(pattern), name)
     return out.otherwise(default)
+
+
+def singular(c: Column) -> Column:
+    """A plural's likely root: -ies to -y, else without the last s; words on -ss and all others stay."""
+    return F.when(c.rlike("[a-z]{2}ies$"), F.regexp_replace(c, "ies$", "y")).when(c.rlike("[a-rt-z]s$"), F.regexp_replace(c, "s$", "")).otherwise(c)

@@ -89,3 +89,34 @@ def average_ranks(rows: DataFrame, value: str) -> DataFrame:
     counts = rows.groupBy(value).agg(F.count("*").alias("n"))
     below = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counts.select(value, (below + (F.col("n") + 1) / 2).alias("avg_rank"))
+
+
+def box(rows: DataFrame, group: str, value: str, fence: float = 1.5) -> DataFrame:
+    """Per group: count, quartiles, whiskers (the outermost values within the fences) and values beyond them."""
+    p = lambda s: F.percentile(value, F.lit(s))
+    edges = rows.groupBy(group).agg(p(0.25).alias("q1"), p(0.5).alias("q2"), p(0.75).alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    inside = F.col(value).between(F.col("q1") - fence * iqr, F.col("q3") + fence * iqr)
+    kept = F.when(inside, F.col(value))
+    # One row for each group; its size is that of a category, but nothing forces a broadcast.
+    out = rows.join(edges, group).groupBy(group).agg(F.count("*").alias("n"), F.max("q1").alias("q1"), F.max("q2").alias("q2"), F.max("q3").alias("q3"), F.min(kept).alias("low"), F.max(kept).alias("high"), F.count_if(~inside).alias("beyond"))
+    return out.select(group, "n", *(F.round(c, 4).alias(c) for c in ("q1", "q2", "q3", "low", "high")), "beyond")
+
+
+def even_fit(rows: DataFrame, key: str) -> DataFrame:
+    """chi2 against equal shares, degrees of freedom, n."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("o"))
+    one = counts.agg(F.count("*").alias("k"), F.sum("o").alias("n"), F.sum(F.col("o").cast("double") ** 2).alias("s"))
+    return one.select(F.round(F.col("s") * F.col("k") / F.col("n") - F.col("n"), 4).alias("chi2"), (F.col("k") - 1).alias("dof"), "n")
+
+
+def power_tail(rows: DataFrame, value: str, least: float) -> DataFrame:
+    """Exponent of a continuous power law by maximum likelihood on values of at least `least`, its standard error, the tail's size."""
+    tail = rows.filter(F.col(value) >= least).agg(F.count("*").alias("n"), F.sum(F.log(F.col(value) / least)).alias("s"))
+    return tail.select("n", F.round(1 + F.col("n") / F.col("s"), 4).alias("alpha"), F.round(F.sqrt("n") / F.col("s"), 4).alias("error"))
+
+
+def moments(rows: DataFrame, value: str) -> DataFrame:
+    """Skewness, excess kurtosis (population) and the Jarque-Bera statistic, in one pass."""
+    one = rows.agg(F.count(value).alias("n"), F.skewness(value).alias("g"), F.kurtosis(value).alias("k"))
+    return one.select("n", F.round("g", 4).alias("skewness"), F.round("k", 4).alias("kurtosis"), F.round(F.col("n") / 6.0 * (F.col("g") ** 2 + F.col("k") ** 2 / 4.0), 2).alias("jarque_bera"))

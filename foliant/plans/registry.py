@@ -12,6 +12,7 @@ from ..functions import binning as B
 from ..functions import text as X
 from ..operators import core as O
 from ..session import table
+from ..streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -431,3 +432,133 @@ def alias_pairs(t):
 def exact_match(t):
     key = lambda c: F.regexp_extract(c, "([0-9]+)", 1)
     return t("customer").join(t("supplier"), (key("c_name") == key("s_name")) & (F.col("c_nationkey") == F.col("s_nationkey"))).select("c_custkey", "s_suppkey")
+
+
+# Profiles of tails, boxes, dates and keys
+
+
+@query("SELECT CAST(floor(log10(o_totalprice) * 4) AS BIGINT) AS bin, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1")
+def log_histogram(t):
+    return t("orders").filter("o_totalprice > 0").groupBy(F.floor(F.log10("o_totalprice") * 4).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH e AS (SELECT o_orderstatus, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
+    f AS (SELECT o_orderstatus, o_totalprice AS x, q1, q2, q3, o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM orders JOIN e USING (o_orderstatus))
+    SELECT o_orderstatus, count(*) AS n, round(max(q1), 4) AS q1, round(max(q2), 4) AS q2, round(max(q3), 4) AS q3, round(min(x) FILTER (inside), 4) AS low, round(max(x) FILTER (inside), 4) AS high, count(*) FILTER (NOT inside) AS beyond FROM f GROUP BY 1""")
+def boxplot_data(t):
+    return O.box(t("orders"), "o_orderstatus", "o_totalprice")
+
+
+@query("WITH c AS (SELECT o_orderpriority, count(*) AS o FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1), s AS (SELECT sum(o) * 1.0 / count(*) AS e FROM c) SELECT round(sum((o - e) * (o - e) / e), 4) AS chi2, count(*) - 1 AS dof, CAST(sum(o) AS BIGINT) AS n FROM c, s")
+def chi2_gof(t):
+    return O.even_fit(t("orders"), "o_orderpriority")
+
+
+@query("SELECT count(*) AS n, round(1 + count(*) / sum(ln(o_totalprice / 150000.0)), 4) AS alpha, round(sqrt(count(*)) / sum(ln(o_totalprice / 150000.0)), 4) AS error FROM orders WHERE o_totalprice >= 150000.0")
+def power_law(t):
+    return O.power_tail(t("orders"), "o_totalprice", 150000.0)
+
+
+@query("WITH m AS (SELECT avg(l_extendedprice) AS m FROM lineitem), s AS (SELECT count(*) AS n, avg(power(l_extendedprice - m, 2)) AS m2, avg(power(l_extendedprice - m, 3)) AS m3, avg(power(l_extendedprice - m, 4)) AS m4 FROM lineitem, m), g AS (SELECT n, m3 / power(m2, 1.5) AS g, m4 / (m2 * m2) - 3 AS k FROM s) SELECT n, round(g, 4) AS skewness, round(k, 4) AS kurtosis, round(n / 6.0 * (g * g + k * k / 4.0), 2) AS jarque_bera FROM g")
+def normality(t):
+    return O.moments(t("lineitem"), "l_extendedprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n FROM lineitem) WHERE n > 1")
+def key_dups(t):
+    keys = ["l_orderkey", "l_partkey"]
+    repeated = t("lineitem").groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return t("lineitem").join(repeated, keys, "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT y.y AS yr, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1990, 2003)) AS INTEGER) AS y) y LEFT JOIN (SELECT year(o_orderdate) AS yr, count(*) AS n FROM orders GROUP BY 1) ON yr = y.y")
+def year_counts_filled(t):
+    orders = t("orders")
+    years = orders.sparkSession.range(1990, 2003).select(F.col("id").cast("int").alias("yr"))
+    counts = orders.groupBy(F.year("o_orderdate").alias("yr")).agg(F.count("*").alias("n"))
+    return years.join(counts, "yr", "left").select("yr", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year, count(*) FILTER (year(o_orderdate) BETWEEN 1993 AND 1996) AS in_range, count(*) FILTER (year(o_orderdate) NOT BETWEEN 1993 AND 1996) AS out_of_range FROM orders")
+def year_range(t):
+    inside = F.year("o_orderdate").between(1993, 1996)
+    return t("orders").agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"), F.count_if(inside).alias("in_range"), F.count_if(~inside).alias("out_of_range"))
+
+
+@query("SELECT 'c_acctbal' AS column_name, count(*) FILTER (c_acctbal < 0) AS negative, count(*) FILTER (c_acctbal = 0) AS zero FROM customer UNION ALL SELECT 's_acctbal', count(*) FILTER (s_acctbal < 0), count(*) FILTER (s_acctbal = 0) FROM supplier")
+def negative_scan(t):
+    one = lambda name, c: t(name).agg(F.count_if(F.col(c) < 0).alias("negative"), F.count_if(F.col(c) == 0).alias("zero")).select(F.lit(c).alias("column_name"), "negative", "zero")
+    return one("customer", "c_acctbal").unionByName(one("supplier", "s_acctbal"))
+
+
+@query("WITH w AS (SELECT count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem WHERE l_quantity > 0) SELECT cut, (SELECT count(*) FROM lineitem) AS before, (SELECT count(*) FROM lineitem WHERE l_quantity >= cut) AS after, round((SELECT count(*) FROM lineitem WHERE l_quantity >= cut) * 100.0 / (SELECT count(*) FROM lineitem), 2) AS pct FROM (SELECT unnest([5, 10, 25]) AS cut), w")
+def cut_impact(t):
+    one = t("lineitem").agg(F.count("*").alias("before"), *(F.count_if(F.col("l_quantity") >= c).alias(f"c{c}") for c in (5, 10, 25)))
+    rows = one.select("before", F.explode(F.array(*(F.struct(F.lit(c).alias("cut"), F.col(f"c{c}").alias("after")) for c in (5, 10, 25)))).alias("x")).select("before", "x.*")
+    return rows.select("cut", "before", "after", F.round(F.col("after") * 100.0 / F.col("before"), 2).alias("pct"))
+
+
+# Titles, words, matches, events
+
+
+@query(r"SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '([^/?#]+)/?([?#].*)?$', 1), '\.[a-zA-Z0-9]+$', ''), '[-_+]+', ' ', 'g'), '\s+', ' ', 'g'))) AS title FROM pages")
+def url_titles(t):
+    return t("pages").select("page_id", F.lower(X.url_title(F.col("url"))).alias("title"))
+
+
+@query("""
+    WITH d AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents) GROUP BY word),
+    r AS (SELECT *, CASE WHEN regexp_matches(word, '[a-z]{2}ies$') THEN regexp_replace(word, 'ies$', 'y') WHEN regexp_matches(word, '[a-rt-z]s$') THEN regexp_replace(word, 's$', '') ELSE word END AS root FROM d)
+    SELECT coalesce(s.word, r.word) AS canon, count(*) AS forms, CAST(sum(r.n) AS BIGINT) AS n FROM r LEFT JOIN d s ON s.word = r.root GROUP BY 1""")
+def plural_merge(t):
+    words = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    known = words.select(F.col("word").alias("root"))
+    merged = words.withColumn("root", X.singular(F.col("word"))).join(known.withColumn("found", F.lit(True)), "root", "left")
+    return merged.groupBy(F.when(F.col("found"), F.col("root")).otherwise(F.col("word")).alias("canon")).agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: CASE WHEN x IN ('large', 'small') THEN '1' ELSE '0' END), '') AS flags, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('large', 'small')), ' ') AS content FROM part")
+def bridge_flags(t):
+    words, noise = F.split("p_name", " "), ["large", "small"]
+    return t("part").select("p_partkey", F.array_join(F.transform(words, lambda x: F.when(x.isin(noise), "1").otherwise("0")), "").alias("flags"), F.array_join(F.filter(words, lambda x: ~x.isin(noise)), " ").alias("content"))
+
+
+@query("SELECT count(DISTINCT p_partkey) AS works, count(*) AS tags, count(DISTINCT w) AS distinct_tags, round(count(*) * 1.0 / count(DISTINCT p_partkey), 4) AS mean_tags FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)")
+def bridge_summary(t):
+    long = t("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w"))
+    return long.agg(F.countDistinct("p_partkey").alias("works"), F.count("*").alias("tags"), F.countDistinct("w").alias("distinct_tags")).withColumn("mean_tags", F.round(F.col("tags") / F.col("works"), 4))
+
+
+_FUZZY = """WITH p AS (SELECT c_custkey, s_suppkey, round(1.0 - levenshtein(regexp_extract(c_name, '#(.*)', 1), regexp_extract(s_name, '#(.*)', 1)) / 9.0, 4) AS score
+    FROM customer JOIN supplier ON c_nationkey = s_nationkey AND right(c_name, 1) = right(s_name, 1)),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS rn FROM p) WHERE rn = 1 AND score >= 0.6)"""
+
+
+def _fuzzy(t):
+    """Best supplier of each customer by edit similarity of the number in the name. Pairs are made within blocks of nation and last
+    digit; a best partner is an aggregate, so no block is sorted or held."""
+    number = lambda c: F.regexp_extract(c, "#(.*)", 1)
+    pairs = t("customer").join(t("supplier"), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.right("c_name", F.lit(1)) == F.right("s_name", F.lit(1))))
+    scored = pairs.select("c_custkey", "s_suppkey", F.round(1.0 - F.levenshtein(number("c_name"), number("s_name")) / 9.0, 4).alias("score"))
+    best = scored.groupBy("c_custkey").agg(F.max(F.struct("score", (-F.col("s_suppkey")).alias("s"))).alias("b"))
+    return best.select("c_custkey", (-F.col("b.s")).alias("s_suppkey"), F.col("b.score").alias("score")).filter("score >= 0.6")
+
+
+@query(_FUZZY + " SELECT c_custkey, s_suppkey, score FROM best")
+def fuzzy_match(t):
+    return _fuzzy(t)
+
+
+@query(_FUZZY + " SELECT CASE WHEN score = 1 THEN 'exact' WHEN score >= 0.85 THEN 'high' ELSE 'low' END AS kind, count(*) AS n, round(avg(score), 4) AS mean_score, min(score) AS min_score, max(score) AS max_score, round(count(*) * 100.0 / (SELECT count(*) FROM customer), 2) AS pct FROM best GROUP BY 1")
+def match_report(t):
+    kind = F.when(F.col("score") == 1, "exact").when(F.col("score") >= 0.85, "high").otherwise("low").alias("kind")
+    total = t("customer").agg(F.count("*").alias("total"))
+    by = _fuzzy(t).groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+    return by.join(F.broadcast(total)).withColumn("pct", F.round(F.col("n") * 100.0 / F.col("total"), 2)).drop("total")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(t):
+    counts = W.windowed_counts(t("events"), "ts", "event_type", "1 hour")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
