@@ -172,6 +172,12 @@ def test_fuzzy_lines(spark, odd):
     assert line_dedup.line_groups(odd).count() == 5  # three equal lines, and two long ones that differ by a word
 
 
+def test_lines_that_differ_by_punctuation_are_equal(spark):
+    rows = [(1, "one, two: three!"), (2, "One two three"), (3, "(one)  two -- three."), (4, "... !")]
+    got = line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["keep_doc_id"]) for r in got) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_katz_is_normalised_and_exact(spark, docs):
     small = docs.filter("doc_id < 60").select("doc_id", "text").unionByName(spark.createDataFrame([(1000, None), (1001, "")], "doc_id long, text string"))
     got = {r["doc_id"]: r for r in katz.score_documents(small).collect()}
