@@ -27,7 +27,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(table(spark, sf_dir, "documents")).drop("group_id")
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"), None).drop("group_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

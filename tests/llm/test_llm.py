@@ -172,6 +172,41 @@ def test_fuzzy_lines(spark, odd):
     assert line_dedup.line_groups(odd).count() == 5  # three equal lines, and two long ones that differ by a word
 
 
+def similar_lines(names):
+    """All pairs with edit similarity of at least 0.8, found without fingerprints; character counts only spare hopeless distances."""
+    counts = [Counter(x) for x in names]
+    for i, x in enumerate(names):
+        for j in range(i):
+            room = int(max(len(x), len(names[j])) * 0.2 + 1e-9)
+            if abs(len(x) - len(names[j])) <= room and sum(((counts[i] - counts[j]) + (counts[j] - counts[i])).values()) <= 2 * room and distance(x, names[j]) <= room:
+                yield i, j
+
+
+def test_fuzzy_lines_are_all_similar_ones(spark, docs):
+    normal = lambda x: re.sub(r"[\s!-/:-@\[-`{-~]+", " ", x.lower()).strip()
+    lines = sorted({x for r in docs.select("text").collect() for x in (r["text"] or "").split("\n") if 0 < len(normal(x)) <= 100})[:300]
+    draw = np.random.default_rng(7)
+    altered = []
+    for x in lines[::2]:
+        words = x.split()
+        words[draw.integers(len(words))] = "zebra"
+        altered += [" ".join(words), ", ".join(x.split())]
+    rows = list(enumerate([*lines, *altered]))
+    got = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    first = {}
+    for d, x in rows:
+        first.setdefault(normal(x), []).append(d)
+    names = list(first)
+    pairs = list(similar_lines(names))
+    short = [p for p in pairs if len(names[p[0]].split()) < 8]
+    together = lambda some: np.mean([first[names[i]][0] in got and got[first[names[i]][0]] == got.get(first[names[j]][0]) for i, j in some])
+    assert len(pairs) > 80 and len(short) > 10
+    assert together(pairs) >= 0.95 and together(short) >= 0.9
+    truth = dict(zip(names, components(len(names), pairs)))
+    assert all(truth[normal(rows[d][1])] == truth[normal(rows[k][1])] for d, k in got.items())
+    assert all(len({got.get(d) for d in same}) == 1 and None not in {got.get(d) for d in same} for same in first.values() if len(same) > 1)
+
+
 def test_lines_that_differ_by_punctuation_are_equal(spark):
     rows = [(1, "one, two: three!"), (2, "One two three"), (3, "(one)  two -- three."), (4, "... !")]
     got = line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
