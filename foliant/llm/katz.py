@@ -177,18 +177,38 @@ def gather_facts(answers: DataFrame, kind: str) -> dict:
     return {"types": row["types"] or 0, "tokens": row["tokens"] or 0, "of": [row[f"n{r}"] or 0 for r in range(DISCOUNTED + 2)]}
 
 
+def smoothed(of: list[int]) -> np.ndarray | None:
+    """Counts of counts by Gale's fit of log Z_r on log r, None where it doesn't fall faster than 1 / r, as it must for discounts."""
+    met = [r for r in range(1, DISCOUNTED + 2) if of[r] > 0]
+    if len(met) < 2:
+        return None
+    before, after = [0, *met[:-1]], [*met[1:], 2 * met[-1] - met[-2]]
+    z = [2 * of[r] / (t - q) for q, r, t in zip(before, met, after)]
+    slope, level = np.polyfit(np.log(met), np.log(z), 1)
+    return np.exp(level + slope * np.log(np.arange(1, DISCOUNTED + 2))) if slope < -1 else None
+
+
+def katz_formula(n: list) -> np.ndarray:
+    """d_1 to d_k from n_1 to n_k+1."""
+    k = DISCOUNTED
+    top = (k + 1) * n[k] / n[0]
+    return np.array([((r + 1) * n[r] / (r * n[r - 1]) - top) / (1 - top) for r in range(1, k + 1)])
+
+
 def discounts(of: list[int]) -> np.ndarray:
-    """Katz's d_r for r up to DISCOUNTED from counts of counts, 1 above. Where the formula gives no number in (0, 1), which
-    small or odd samples do, half a count is taken off instead."""
+    """Katz's d_r for r up to DISCOUNTED from counts of counts, 1 above. Where the counts as they are give a number outside (0, 1),
+    as groups of copies make them do, the counts of counts are smoothed first; only where these don't fall at all like
+    counts of counts, which tiny samples do, half a count is taken off instead."""
     k = DISCOUNTED
     d = np.ones(k + 2)
+    fits = lambda x: bool(((x > 0) & (x < 1)).all())
     try:
-        top = (k + 1) * of[k + 1] / of[1]
-        d[1 : k + 1] = [((r + 1) * of[r + 1] / (r * of[r]) - top) / (1 - top) for r in range(1, k + 1)]
+        d[1 : k + 1] = katz_formula(of[1:])
     except ZeroDivisionError:
         d[1] = 0
-    if not ((d[1 : k + 1] > 0) & (d[1 : k + 1] < 1)).all():
-        d[1 : k + 1] = [(r - 0.5) / r for r in range(1, k + 1)]
+    if not fits(d[1 : k + 1]):
+        n = smoothed(of)
+        d[1 : k + 1] = [(r - 0.5) / r for r in range(1, k + 1)] if n is None else katz_formula(n)
     return d
 
 

@@ -246,6 +246,23 @@ def test_katz_is_normalised_and_exact(spark, docs):
         assert abs(got[d]["base_score"] - sum(np.log10((uni[x] + 0.1) / (n + 0.1 * (len(uni) + 1))) for x in w)) < 1e-6
 
 
+def test_katz_keeps_good_turing_on_copies():
+    of = [0, 5000, 1600, 800, 420, 700, 260]  # copies that occur five times: d_4 is over 1 by the counts as they are
+    assert 5 * of[5] > 4 * of[4]
+    z = np.log([of[r] for r in range(1, 7)])
+    slope, level = np.polyfit(np.log(np.arange(1, 7)), z, 1)
+    n = np.exp(level + slope * np.log(np.arange(1, 7)))
+    top = 6 * n[5] / n[0]
+    want = [((r + 1) * n[r] / (r * n[r - 1]) - top) / (1 - top) for r in range(1, 6)]
+    for kind in ("word_d", "pair_d"):
+        model = katz.Model({"tokens": 99999, "types": 9999, "of": of}, {"tokens": 99999, "types": 9999, "of": of})
+        assert np.allclose(getattr(model, kind)[1:6], want) and getattr(model, kind)[6] == 1
+    assert all(0 < a < b < 1 for a, b in zip(want, want[1:]))
+    good = [0, 6000, 1500, 700, 420, 290, 210]
+    top = 6 * good[6] / good[1]
+    assert np.allclose(katz.discounts(good)[1:6], [((r + 1) * good[r + 1] / (r * good[r]) - top) / (1 - top) for r in range(1, 6)])
+
+
 def test_quality_held_out(spark, odd):
     sf = "/root/testdata/sf0.01"
     labels = table(spark, sf, "labels")
