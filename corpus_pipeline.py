@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import common, exact_dedup, packing, quality, simhash, suffix_dedup
+from foliant.llm import common, exact_dedup, near_dedup, packing, quality, suffix_dedup
 from foliant.session import table
 
 ROW = "__foliant_row"
@@ -28,12 +28,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest (doc_id, row) stays."""
-    rows = simhash.near_duplicates(docs, shingle=5)
-    rows = common.Scratch(spark, "near").write(rows.select("doc_id", "row", "component_id"), "rows")
-    # A component is named by its smallest doc_id; rows that share that id tie, and the first of them stays.
-    keep = rows.filter("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("keep_row"))
-    return _without(docs, rows.join(keep, "component_id").filter("row != keep_row"))
+    """Of each group of documents linked by a Jaccard similarity of at least 0.8 of their five-word shingles the first (doc_id, row) stays."""
+    copies = common.Scratch(spark, "near").write(near_dedup.near_copies(docs), "copies")
+    return _without(docs, copies.filter("row != keep_row"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,6 +310,41 @@ def test_chat_edges(spark):
     assert [got[1]["formatted"][m["start"] : m["start"] + m["length"]] for m in got[1]["mask"]] == ["a", "", ""]
 
 
+def test_pipeline_near_stage_is_jaccard(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.drop_exact_copies(spark, table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), sf_dir)
+    draw = np.random.default_rng(11)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    # Altered copies of varied similarity; copies and unlike texts that share an id or have none.
+    for k, (_, t) in enumerate([x for x in texts if 40 < len((x[1] or "").split()) < 400][:120]):
+        words = t.split()
+        for _ in range(1 + k % 4):
+            words[draw.integers(len(words))] = f"altered{k}"
+        texts.append((None if k % 3 else 5, " ".join(words)))
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    path = "/tmp/checkpoints/foliant/test-near-input"
+    df.write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for _, t in rows]
+    holds = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holds.setdefault(x, []).append(i)
+    common = Counter((i, j) for same in holds.values() for j in same for i in same if i < j)
+    pairs = [(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    assert len(pairs) > 40
+    groups = {}
+    for i, c in enumerate(components(len(rows), pairs)):
+        groups.setdefault(c, []).append(i)
+    order = lambda i: (rows[i][0] is not None, rows[i][0] or 0, i)
+    want = Counter(rows[min(g, key=order)] for g in groups.values())
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, sf_dir).collect())
+    assert got == want
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     for f in (lambda d: bpe.digests(d, *bpe.vocabulary()), media.digests, simhash.digests, exact_dedup.digests, suffix_dedup.spans_query, line_dedup.line_groups, katz.score_documents, lambda d: packing.pack_documents(d, packing.vocabulary())):
