@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: Used only where spark.checkpoint.dir is unset and the master is local.
 LOCAL_SHARED = "/tmp/checkpoints/foliant"
+#: Column of row numbers; numbered() makes it.
+ROW = "__foliant_row"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +45,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, partition_by: Iterable[str] = (), plain: Iterable[str] = ()) -> DataFrame:
+        """`plain` columns hardly repeat: Parquet needn't look for a dictionary of them."""
+        out = df.write.option("compression", "zstd").partitionBy(*partition_by)
+        for c in plain:
+            out = out.option(f"parquet.enable.dictionary#{c}", "false")
+        out.parquet(self.path(name))
         self.collect_garbage()
         return self.read(name, df)
 
@@ -64,6 +71,12 @@ class Scratch:
             time.sleep(0.1)
 
 
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "numbered") -> DataFrame:
+    """docs with a number for each row (ROW), written. All steps that meet by the number read this table: numbers of two scans of one
+    input need not agree, as executors come and go."""
+    return docs if ROW in docs.columns else scratch.write(docs.withColumn(ROW, F.monotonically_increasing_id()), name, plain=["text"])
+
+
 def buckets_for(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions for a keyed exchange: the session's number, more if the input's size asks for it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -75,16 +88,28 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     """mapInArrow for functions that yield dicts of columns (lists or numpy arrays), with Arrow batches of bounded bytes."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     kinds = pa.schema([pa.field(c, t) for c, t in ((x.name, _arrow(x.dataType.simpleString())) for x in _struct(spark, schema))])
 
     def run(batches):
-        for columns in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in kinds], schema=kinds)
+        try:
+            for columns in fn(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in kinds], schema=kinds)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system at the end of a partition: workers live on and meet other steps."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _struct(spark: SparkSession, ddl: str):
     from pyspark.sql.types import StructType
 
@@ -113,10 +138,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Words a worker has met, up to a limit; what doesn't fit is made again when it comes. Its size doesn't grow with the data."""
+    """Words a worker has met, up to a limit of entries and of characters; what doesn't fit is made again when it comes. Its size
+    doesn't grow with the data."""
 
-    def __init__(self, make: Callable[[list], Iterable], limit: int = 1_000_000):
-        self.make, self.limit, self.known = make, limit, {}
+    def __init__(self, make: Callable[[list], Iterable], limit: int = 300_000, room: int = 8 << 20):
+        self.make, self.limit, self.room, self.known = make, limit, room, {}
 
     def lookup(self, words: Iterable) -> dict:
         """A mapping that holds all the words. Ask for many words at once: new ones are made together."""
@@ -126,7 +152,9 @@ class Memo:
             return self.known
         new = list(new)
         made = dict(zip(new, self.make(new)))
-        if len(self.known) + len(made) <= self.limit:
+        size = sum(map(len, new))
+        if len(self.known) + len(made) <= self.limit and size <= self.room:
+            self.room -= size
             self.known.update(made)
             return self.known
         return ChainMap(self.known, made)
