@@ -12,7 +12,7 @@ others. Equal contexts are folded into one row with its first place before they
 
 Null and empty texts, and texts of fewer words than `span`, have no spans. Words are runs without [\\x20\\x09-\\x0D], compared by hash
 (64 bits for the first `gram` words and 32 for each word beyond). Repetitions inside one document count too. Rows with equal doc_id are apart.
-`docs` must be a table or another source that is read in the same order twice.
+Rows are numbered in a written table once; every later step reads that table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPAN, GRAM = 50, 12
-ROW = "__foliant_row"
+ROW = C.ROW
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -192,21 +192,20 @@ def merge_spans(pieces: DataFrame, parts: int) -> DataFrame:
     return C.arrow_map(pieces.repartition(parts, "row").sortWithinPartitions("row", "is_first", "start_word", "end_word"), run, "doc_id long, row long, start_word int, end_word int, is_first boolean")
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
-
 def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, row, start_word, end_word, is_first over with_rows(docs): maximal spans of repeated stretches. is_first spans hold the
+    """doc_id, row, start_word, end_word, is_first over common.numbered(docs): maximal spans of repeated stretches. is_first spans hold the
     first occurrences, which stay; the others occurred before."""
     spark = rows.sparkSession
     scratch = C.Scratch(spark, "suffix")
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ROW)
     parts = C.buckets_for(spark, texts)
     kept = scratch.write(suffixes(texts, span, gram), "suffixes")
-    shared = kept.groupBy("key").count().filter("count > 1").select("key")
-    wanted = scratch.write(kept.join(shared, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys")), "wanted")  # a document's own keys
-    scratch.drop("suffixes")
+    shared = scratch.write(kept.groupBy("key").count().filter("count > 1").select("key"), "shared")
+    # Written before it is grouped by row, so that the join can split the rows of a hot key.
+    hits = scratch.write(kept.join(shared, "key", "left_semi"), "hits")
+    scratch.drop("suffixes", "shared")
+    wanted = scratch.write(hits.groupBy("row").agg(F.collect_set("key").alias("keys")), "wanted")  # a document's own keys
+    scratch.drop("hits")
     met = scratch.write(contexts(texts.join(wanted.withColumnRenamed("row", ROW), ROW), span, gram), "contexts")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos")).alias("f")
     folded = met.groupBy("key", "cid").agg(first, F.count("*").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("context").alias("context"))
@@ -236,7 +235,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """docs with the same columns and rows; words of repeated spans are cut out of `text`, first occurrences stay, and
     n_chars, where there is one, counts the new text's code points."""
-    rows = with_rows(docs)
+    rows = C.numbered(docs, C.Scratch(docs.sparkSession, "rows"))
     spans = repeated_spans(rows, span, gram).filter("not is_first").groupBy("row").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__foliant_spans"))
     spans = spans.withColumnRenamed("row", ROW)
 
@@ -253,5 +252,5 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
 
 
 def spans_query(docs: DataFrame) -> DataFrame:
-    found = repeated_spans(with_rows(docs))
+    found = repeated_spans(C.numbered(docs.select("doc_id", "text"), C.Scratch(docs.sparkSession, "rows")))
     return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), F.col("is_first").alias("kept"))
