@@ -50,7 +50,7 @@ def text_blocks(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", tex
                     refs.append((row, i, n, len(text), doc or 0, doc is None, sha))
             yield fold(keys, np.array(refs, REF))
 
-    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row")), run, "key binary, refs binary")
+    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (docs[C.ROW] if C.ROW in docs.columns else F.monotonically_increasing_id()).alias("row")), run, "key binary, refs binary")
 
 
 def name_sorted(folded: DataFrame, parts: int) -> DataFrame:
@@ -107,7 +107,7 @@ def identities(docs: DataFrame, scratch: C.Scratch, block: int = BLOCK) -> tuple
 
 
 def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, row, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
+    """doc_id, row, keep_id, group_size, kept, text_sha256: one row for each row of docs; row is that of common.numbered(docs) where docs have it."""
     scratch = C.Scratch(docs.sparkSession, "exact")
     names, facts = identities(docs, scratch, block)
     rows = scratch.write(names.join(facts, "row"), "rows")

@@ -1,9 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of sets of word shingles, for the pipeline.
-
-Documents are compared if they share one of BANDS keys, each of WIDTH minima of hashed shingles: at a similarity of 0.8
-that is missed by 1 pair in 5,000. Every candidate is verified on the whole sets. Within a key, documents are first compared with the key's
-least row; what this leaves in different components is compared in turn. Groups are components of rows, so that doc_id may repeat or
-be null. A text of fewer words than a shingle is one shingle; null, empty and blank texts have none and are no one's copies.
+"""Operator 4 at a Jaccard similarity of five-word shingle sets, for the pipeline.
+
+Sets that are 0.8 alike have SimHash fingerprints some 10 bits apart, up to RADIUS: too far for blocks of equal bits, of which
+a shard's key would hold few. Shards are therefore the documents that share one of BANDS keys, each of WIDTH minima of hashed shingles: at a
+similarity of 0.8 that is missed by 1 pair in 5,000. In each shard a BK-tree of the fingerprints follows only edges within the radius;
+documents that it joins are candidates, and every candidate is verified on the whole sets. Within a shard's group, documents are first
+compared with the group's least row; what this leaves in different components is compared in turn. Groups are components of rows, so that
+doc_id may repeat or be null. A text of fewer words than a shingle is one shingle; null, empty and blank texts have none and are no one's copies.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .suffix_dedup import with_rows
+from .simhash import shard_edges
 
-SIMILAR, SHINGLE, SEED = 0.8, 5, 42
+SIMILAR, SHINGLE, SEED, RADIUS = 0.8, 5, 42, 20
 BANDS, WIDTH = 16, 4
 _DRAW = np.random.default_rng(SEED)
 FACTORS, ADDED = (_DRAW.integers(0, 2**64, BANDS * WIDTH, np.uint64) | np.uint64(1) for _ in range(2))
-ROW = "__foliant_row"
+ROW = C.ROW
+_SHIFTS = np.arange(64, dtype=np.uint64)[:, None]
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -39,20 +42,29 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), k) - 2**63 for k, x in enumerate(least)]
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """A signed 64-bit SimHash of distinct shingles: a bit is 1 if set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(found), 4096):
+        votes += ((found[None, k : k + 4096] >> _SHIFTS) & np.uint64(1)).sum(axis=1, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(found), bitorder="little").view("<i8")[0])
+
+
 def keyed_rows(docs: DataFrame, shingle: int) -> DataFrame:
-    """row, size (of the set), key: BANDS rows a document."""
+    """row, size (of the set), fp, key: BANDS rows a document."""
 
     def run(batches):
         for b in batches:
-            rows, sizes, keys = [], [], []
+            rows, sizes, fps, keys = [], [], [], []
             for row, text in zip(b.column(0).to_pylist(), C.raw_texts(b)):
                 if len(found := shingles(text, shingle)):
                     rows += [row] * BANDS
                     sizes += [len(found)] * BANDS
+                    fps += [fingerprint(found)] * BANDS
                     keys += bands(found)
-            yield {"row": rows, "size": sizes, "key": keys}
+            yield {"row": rows, "size": sizes, "fp": fps, "key": keys}
 
-    return C.arrow_map(docs.select(F.col(ROW).alias("row"), "text"), run, "row long, size long, key long")
+    return C.arrow_map(docs.select(F.col(ROW).alias("row"), "text"), run, "row long, size long, fp long, key long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similar: float, shingle: int, scratch: C.Scratch, name: str) -> DataFrame:
@@ -79,13 +91,23 @@ def verify(pairs: DataFrame, docs: DataFrame, similar: float, shingle: int, scra
     return scratch.write(C.arrow_map(met.select("a", "b", "s", "t"), run, "a long, b long"), name)
 
 
+def grouped(shards: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Rows of shards (key, row, size, fp) whose shard holds another one within the radius, by steps; key names shard and group, least
+    is the group's smallest row."""
+    prints = shards.select("key", "fp").distinct()
+    edges = scratch.write(shard_edges(prints, RADIUS, C.buckets_for(prints.sparkSession, shards, 1 << 20)), "edges")
+    named = shards.join(edges.withColumnsRenamed({"a": "fp", "b": "root"}), ["key", "fp"], "left").select(F.xxhash64("key", F.coalesce("root", "fp")).alias("key"), "row", "size")
+    groups = named.groupBy("key").agg(F.min(F.struct("row", "size")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return named.join(groups.select("key", F.col("first.row").alias("least"), F.col("first.size").alias("least_size")), "key")
+
+
 def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """row, keep_row: rows of with_rows(docs) in a group of near-duplicates, and the first (doc_id, row) of the group."""
+    """row, keep_row: rows of common.numbered(docs) in a group of near-duplicates, and the first (doc_id, row) of the group."""
     scratch = C.Scratch(docs.sparkSession, "near")
-    docs = with_rows(docs.select("doc_id", "text"))
+    docs = C.numbered(docs.select("doc_id", "text", *(c for c in [ROW] if c in docs.columns)), scratch)
     keyed = scratch.write(keyed_rows(docs, shingle), "keyed")
-    shared = keyed.groupBy("key").agg(F.min(F.struct("row", "size")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.row").alias("least"), F.col("first.size").alias("least_size"))
-    met = scratch.write(keyed.join(shared, "key"), "met")
+    shards = scratch.write(keyed.join(keyed.groupBy("key").count().filter("count > 1").select("key"), "key"), "shards")
+    met = scratch.write(grouped(shards, scratch), "met")
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similar - 1e-9
     first = met.filter((F.col("row") != F.col("least")) & fits("size", "least_size")).select(F.col("least").alias("a"), F.col("row").alias("b"))
     links = verify(first, docs, similar, shingle, scratch, "links")

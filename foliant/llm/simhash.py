@@ -125,34 +125,34 @@ class BkTree:
 
 
 def shard_edges(keyed: DataFrame, radius: int, parts: int) -> DataFrame:
-    """Edges a, b (b the smallest of its group) within the shards of a table (key, fp)."""
+    """key, a, b: edges (b the smallest of its group) within the shards of a table (key, fp)."""
 
     def run(batches):
         mask, key, held = 2**64 - 1, None, []
 
         def flush():
-            edges_a, edges_b = [], []
+            keys, edges_a, edges_b = [], [], []
             if len(held) > 1:
                 for group in BkTree([v & mask for v in dict.fromkeys(held)]).groups(radius):
                     signed = [v - (1 << 64) if v >> 63 else v for v in group]
                     root = min(signed)
                     edges_a += [v for v in signed if v != root]
                     edges_b += [root] * (len(signed) - 1)
-            return edges_a, edges_b
+                    keys += [key] * (len(signed) - 1)
+            return keys, edges_a, edges_b
 
         for b in batches:
-            out: tuple[list, list] = ([], [])
+            out: tuple[list, list, list] = ([], [], [])
             for k, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if k != key:
                     for x, y in zip(out, flush()):
                         x += y
                     key, held = k, []
                 held.append(fp)
-            yield {"a": out[0], "b": out[1]}
-        last = flush()
-        yield {"a": last[0], "b": last[1]}
+            yield dict(zip(("key", "a", "b"), out))
+        yield dict(zip(("key", "a", "b"), flush()))
 
-    return C.arrow_map(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp"), run, "a long, b long")
+    return C.arrow_map(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp"), run, "key long, a long, b long")
 
 
 def link(fps: DataFrame, scratch: C.Scratch, radius: int = RADIUS, large: int = 20_000) -> DataFrame:
@@ -164,7 +164,7 @@ def link(fps: DataFrame, scratch: C.Scratch, radius: int = RADIUS, large: int =
         again = keyed.join(crowded, "key", "left_semi").select("fp", F.explode(F.array(*(F.xxhash64("key", k) for k in shard_keys(F.col("fp"), radius, take + 2)))).alias("key"))
         keyed = keyed.join(crowded, "key", "left_anti").unionByName(again)
     parts = C.buckets_for(spark, fps, 1 << 20)
-    return C.connected_components(shard_edges(keyed.select("key", "fp"), radius, parts), scratch)
+    return C.connected_components(shard_edges(keyed.select("key", "fp"), radius, parts).select("a", "b"), scratch)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from oracle import spark_rows, sql_rows
 
-from foliant.llm import bpe, chat, exact_dedup, katz, line_dedup, media, packing, quality, queries, simhash, suffix_dedup
+from foliant.llm import bpe, chat, common, exact_dedup, katz, line_dedup, media, packing, quality, queries, simhash, suffix_dedup
 from foliant.session import table
 
 SHAPE = "doc_id long, text string, row int, score string, key int"
@@ -130,13 +130,14 @@ def windows(rows):
     return set(drop), set(keep)
 
 
-def test_suffix_spans(docs, odd):
+def test_suffix_spans(spark, docs, odd):
     for df in (docs, odd.coalesce(1)):
-        rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-        number = {r["__foliant_row"]: n for n, r in enumerate(suffix_dedup.with_rows(df).select("__foliant_row").collect())}
-        got = suffix_dedup.repeated_spans(suffix_dedup.with_rows(df)).collect()
+        rows = common.numbered(df, common.Scratch(spark, "test"))
+        texts = [(r["doc_id"], r["text"]) for r in rows.select("doc_id", "text").collect()]
+        number = {r["__foliant_row"]: n for n, r in enumerate(rows.select("__foliant_row").collect())}
+        got = suffix_dedup.repeated_spans(rows).collect()
         cover = lambda first: {(r["doc_id"] or 0, number[r["row"]], i) for r in got if r["is_first"] == first for i in range(r["start_word"], r["end_word"])}
-        assert (cover(False), cover(True)) == windows(rows)
+        assert (cover(False), cover(True)) == windows(texts)
     left = suffix_dedup.without_repeats(odd.coalesce(1))
     assert left.columns == odd.columns and left.count() == len(ODD)
     assert suffix_dedup.cut("a b  c d", [(1, 3)]) == "a d"
