@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from foliant.llm import common, exact_dedup, near_dedup, packing, quality, suffix_dedup
 from foliant.session import table
 
-ROW = "__foliant_row"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of with_rows(docs) whose number isn't among `dropped` (column row)."""
-    return suffix_dedup.with_rows(docs).join(dropped.select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of a numbered table whose number isn't among `dropped` (column row)."""
+    return rows.join(dropped.select(F.col("row").alias(common.ROW)), common.ROW, "left_anti").drop(common.ROW)
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return common.numbered(docs, common.Scratch(spark, "rows"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +27,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space one stays."""
-    return _without(docs, exact_dedup.exact_duplicates(docs).filter("not kept"))
+    rows = _numbered(spark, docs)
+    return _without(rows, exact_dedup.exact_duplicates(rows).filter("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of at least 0.8 of their five-word shingles the first (doc_id, row) stays."""
-    copies = common.Scratch(spark, "near").write(near_dedup.near_copies(docs), "copies")
-    return _without(docs, copies.filter("row != keep_row"))
+    rows = _numbered(spark, docs)
+    copies = common.Scratch(spark, "near").write(near_dedup.near_copies(rows), "copies")
+    return _without(rows, copies.filter("row != keep_row"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
