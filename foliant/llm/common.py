@@ -146,11 +146,9 @@ class Memo:
 
     def lookup(self, words: Iterable) -> dict:
         """A mapping that holds all the words. Ask for many words at once: new ones are made together."""
-        new = set(words)
-        new.difference_update(self.known)
-        if not new:
-            return self.known
-        new = list(new)
+        known = self.known
+        if not (new := list({w for w in words if w not in known})):
+            return known
         made = dict(zip(new, self.make(new)))
         size = sum(map(len, new))
         if len(self.known) + len(made) <= self.limit and size <= self.room:

@@ -17,47 +17,48 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .simhash import shard_edges
+from .suffix_dedup import Hasher
 
 SIMILAR, SHINGLE, SEED, RADIUS = 0.8, 5, 42, 20
 BANDS, WIDTH = 16, 4
 _DRAW = np.random.default_rng(SEED)
 FACTORS, ADDED = (_DRAW.integers(0, 2**64, BANDS * WIDTH, np.uint64) | np.uint64(1) for _ in range(2))
 ROW = C.ROW
-_SHIFTS = np.arange(64, dtype=np.uint64)[:, None]
+class Shingles:
+    """Sets of hashed shingles: sums of word hashes by place in the shingle, mixed."""
 
+    def __init__(self, shingle: int = SHINGLE):
+        self.hasher, self.shingle = Hasher(), shingle
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of a text's distinct shingles, sorted."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    body, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    start = [0, *ends[: n - 1].tolist()]
-    return np.unique(np.array([xxhash.xxh64_intdigest(body[a:b], SEED) for a, b in zip(start, (ends[-n:] - 1).tolist())], np.uint64))
+    def of(self, text: bytes) -> np.ndarray:
+        """Hashes of a text's distinct shingles, sorted."""
+        h = self.hasher.words([text.lower()])[0]
+        return np.unique(self.hasher.grams(h, min(self.shingle, len(h)))) if len(h) else h
 
 
 def bands(found: np.ndarray) -> list[int]:
-    least = np.array([C.mix64(found * f + a).min() for f, a in zip(FACTORS, ADDED)], np.uint64).reshape(BANDS, WIDTH)
+    # The hashes are mixed already, so that odd factors alone give other orders.
+    least = np.array([(found * f + a).min() for f, a in zip(FACTORS, ADDED)], np.uint64).reshape(BANDS, WIDTH)
     return [xxhash.xxh64_intdigest(x.tobytes(), k) - 2**63 for k, x in enumerate(least)]
 
 
 def fingerprint(found: np.ndarray) -> int:
     """A signed 64-bit SimHash of distinct shingles: a bit is 1 if set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
-    for k in range(0, len(found), 4096):
-        votes += ((found[None, k : k + 4096] >> _SHIFTS) & np.uint64(1)).sum(axis=1, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(found), bitorder="little").view("<i8")[0])
+    for k in range(0, len(found), 8192):
+        votes += np.unpackbits(np.ascontiguousarray(found[k : k + 8192]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(found)).view("<i8")[0])
 
 
 def keyed_rows(docs: DataFrame, shingle: int) -> DataFrame:
     """row, size (of the set), fp, key: BANDS rows a document."""
 
     def run(batches):
+        sets = Shingles(shingle)
         for b in batches:
             rows, sizes, fps, keys = [], [], [], []
             for row, text in zip(b.column(0).to_pylist(), C.raw_texts(b)):
-                if len(found := shingles(text, shingle)):
+                if len(found := sets.of(text)):
                     rows += [row] * BANDS
                     sizes += [len(found)] * BANDS
                     fps += [fingerprint(found)] * BANDS
@@ -74,13 +75,13 @@ def verify(pairs: DataFrame, docs: DataFrame, similar: float, shingle: int, scra
     text = scratch.write(docs.select(ROW, "text").join(wanted, ROW, "left_semi"), f"{name}_text")
 
     def run(batches):
-        known, last = None, None
+        known, last, sets = None, None, Shingles(shingle)
         for batch in batches:
             a, b = [], []
             for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), C.raw_texts(batch, "s"), C.raw_texts(batch, "t")):
                 if x != last:
-                    known, last = shingles(s, shingle), x
-                other = shingles(t, shingle)
+                    known, last = sets.of(s), x
+                other = sets.of(t)
                 both = len(np.intersect1d(known, other, assume_unique=True))
                 if both >= similar * (len(known) + len(other) - both) - 1e-9:
                     a.append(x)
