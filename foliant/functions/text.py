@@ -20,67 +20,7 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def clean_title(c: Column) -> Column:
-    """Without (...) and [...]; a title that has nothing else stays as it is."""
-    bare = squeeze(F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", " "))
-    return F.coalesce(F.nullif(bare, F.lit("")), c)
-
-
-def clean_html(c: Column) -> Column:
-    """Without tags and entities."""
-    return squeeze(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"&[a-zA-Z#0-9]+;", " "))
-
-
-def has_html(c: Column) -> Column:
-    return c.rlike(r"<[^>]+>") | c.rlike(r"&[a-zA-Z#0-9]+;")
-
-
-def bare_words(c: Column) -> Column:
-    """Lower case without ASCII punctuation."""
-    return squeeze(F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", " "))
-
-
 def sentences(c: Column) -> Column:
     """Split after runs of . ! ? that white space follows."""
     marked = F.regexp_replace(c, r"([.!?]+)\s+", "$1\x01")
     return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
-
-
-def list_parts(c: Column) -> Column:
-    """A list written as text: without brackets and quotes, split on comma, semicolon or bar."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]'\"]", ""), r"[,;|]"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "nan"))
-
-
-def url_title(c: Column) -> Column:
-    """Title from the last part of a URL's path."""
-    stem = F.regexp_replace(F.regexp_extract(c, r"([^/?#]+)/?(?:[?#].*)?$", 1), r"\.[a-zA-Z0-9]+$", "")
-    return F.initcap(squeeze(F.regexp_replace(stem, r"[-_+]+", " ")))
-
-
-def by_clause(c: Column, part: int) -> Column:
-    """Title (1) or author (2) of "Title by Author"."""
-    return F.nullif(F.trim(F.regexp_extract(c, r"(?i)^(.+?)\s+by\s+(.+)$", part)), F.lit(""))
-
-
-def tag_key(c: Column) -> Column:
-    """A tag's canonical key: separators to spaces, edge punctuation off, squeezed, lower case."""
-    return F.lower(squeeze(F.regexp_replace(F.regexp_replace(c, r"[-_]+", " "), r"^[!-/:-@\[-`{-~\s]+|[!-/:-@\[-`{-~\s]+$", "")))
-
-
-def trigram_jaccard(a: Column, b: Column) -> Column:
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    x, y = grams(a), grams(b)
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-
-
-def first_match(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """The class of the first rule whose pattern is found."""
-    out = None
-    for name, pattern in rules:
-        out = F.when(c.rlike(pattern), name) if out is None else out.when(c.rlike(pattern), name)
-    return out.otherwise(default)
-
-
-def singular(c: Column) -> Column:
-    """A plural's likely root: -ies to -y, else without the last s; words on -ss and all others stay."""
-    return F.when(c.rlike("[a-z]{2}ies$"), F.regexp_replace(c, "ies$", "y")).when(c.rlike("[a-rt-z]s$"), F.regexp_replace(c, "s$", "")).otherwise(c)

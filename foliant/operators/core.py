@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import group_quantiles, quantile_row
+
 
 def weighted_rollup(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     """Per key: rows, sum of weights, weighted mean (null without weight), median, largest value."""
@@ -31,92 +33,47 @@ def value_counts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls, share and distinct values of each column, in one pass: columns are melted after aggregation."""
-    aggs = [F.count("*").alias("n")]
-    for c in columns:
-        aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}"), F.countDistinct(c).alias(f"distinct_{c}")]
-    one = rows.agg(*aggs)
-    parts = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"null_{c}").alias("n_null"), F.col(f"distinct_{c}").alias("n_distinct"), F.col("n")) for c in columns))).alias("x")
+    """Nulls, share, distinct values and severity of each column: values are counted in the map tasks, then the counts."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")
+    counts = rows.select(each).select("x.*").groupBy("column_name", "value").agg(F.count("*").alias("m"))
+    one = counts.groupBy("column_name").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("m"))), F.lit(0)).alias("n_null"), F.count("value").alias("n_distinct"), F.sum("m").alias("n"))
     share = F.col("n_null") * 100.0 / F.col("n")
-    return one.select(parts).select("x.*").select("column_name", "n_null", "n_distinct", F.round(share, 2).alias("pct_null"), F.when(share <= 1, "minimal").when(share <= 10, "moderate").when(share <= 50, "significant").otherwise("extensive").alias("severity"))
-
-
-def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each numeric column."""
-    stats = [("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("q25", lambda c: F.percentile(c, F.lit(0.25))), ("median", F.median), ("q75", lambda c: F.percentile(c, F.lit(0.75))), ("max", F.max)]
-    one = rows.agg(*(f(c).cast("double").alias(f"{s}_{c}") for c in columns for s, f in stats))
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.round(f"{s}_{c}", 4).alias(s) for s, _ in stats)) for c in columns))).alias("x")
-    return one.select(each).select("x.*")
+    severity = F.when(share < 1, "minimal").when(share < 10, "moderate").when(share < 50, "significant").otherwise("extensive")
+    return one.select("column_name", "n_null", "n_distinct", F.round(share, 2).alias("pct_null"), severity.alias("severity"))
 
 
 def outliers(rows: DataFrame, column: str, z: float = 3.0, fence: float = 1.5) -> DataFrame:
     """Rows with flags for |z|, quartile fences and P1-P99, and their union. Bounds are one broadcast row."""
-    p = lambda s: F.percentile(column, F.lit(s))
-    bounds = rows.agg(F.avg(column).alias("__m"), F.stddev_samp(column).alias("__s"), p(0.25).alias("__q1"), p(0.75).alias("__q3"), p(0.01).alias("__p1"), p(0.99).alias("__p99"))
-    x, iqr = F.col(column), F.col("__q3") - F.col("__q1")
+    bounds = rows.agg(F.avg(column).alias("__m"), F.stddev_samp(column).alias("__s")).join(F.broadcast(quantile_row(rows, column, [0.25, 0.75, 0.01, 0.99], "__q")))
+    x, iqr = F.col(column), F.col("__q1") - F.col("__q0")
     flags = rows.join(F.broadcast(bounds)).withColumn("by_z", F.abs((x - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))) > z)
-    flags = flags.withColumn("by_iqr", (x < F.col("__q1") - fence * iqr) | (x > F.col("__q3") + fence * iqr)).withColumn("by_pct", (x < F.col("__p1")) | (x > F.col("__p99")))
-    return flags.withColumn("by_any", F.col("by_z") | F.col("by_iqr") | F.col("by_pct")).drop("__m", "__s", "__q1", "__q3", "__p1", "__p99")
-
-
-def quotas(counts: DataFrame, n: str, target: int, tie: list[str]) -> DataFrame:
-    """Largest-remainder quotas of a small table of strata: floors, then the largest remainders get one more."""
-    total = counts.agg(F.sum(n).alias("__total"))
-    shared = counts.join(F.broadcast(total)).withColumn("__exact", F.col(n) * float(target) / F.col("__total")).withColumn("__floor", F.floor("__exact"))
-    left = shared.agg((F.lit(target) - F.sum("__floor")).alias("__left"))
-    order = Window.orderBy(F.desc(F.round(F.col("__exact") - F.col("__floor"), 9)), *tie)  # strata, not rows: a small table
-    out = shared.withColumn("__rn", F.row_number().over(order)).join(F.broadcast(left))
-    return out.withColumn("quota", F.col("__floor") + F.when(F.col("__rn") <= F.col("__left"), 1).otherwise(0)).drop("__total", "__exact", "__floor", "__left", "__rn")
-
-
-def hash_sample(rows: DataFrame, strata: list[str], key: str, n: Column) -> DataFrame:
-    """The first n rows of each stratum in order of md5 of the key: repeatable on any engine."""
-    return ranked(rows, strata, [F.md5(F.col(key).cast("string")), F.col(key)], "__rn").filter(F.col("__rn") <= n).drop("__rn")
-
-
-def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2, degrees of freedom, n and Cramer's V of two columns."""
-    cells = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
-    r, c, t = cells.groupBy("a").agg(F.sum("o").alias("r")), cells.groupBy("b").agg(F.sum("o").alias("c")), cells.agg(F.sum("o").alias("t"))
-    grid = r.join(F.broadcast(c)).join(F.broadcast(t)).join(cells, ["a", "b"], "left")  # categories, not rows
-    e = F.col("r") * F.col("c") / F.col("t")
-    out = grid.agg(F.sum((F.coalesce("o", F.lit(0)) - e) ** 2 / e).alias("chi2"), F.max("t").alias("n"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb"))
-    return out.select(F.round("chi2", 4).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"), "n", F.round(F.sqrt(F.col("chi2") / (F.col("n") * (F.least("ka", "kb") - 1))), 4).alias("cramers_v"))
-
-
-def average_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """Distinct values with their average rank, from counts of values."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(value, (below + (F.col("n") + 1) / 2).alias("avg_rank"))
+    flags = flags.withColumn("by_iqr", (x < F.col("__q0") - fence * iqr) | (x > F.col("__q1") + fence * iqr)).withColumn("by_pct", (x < F.col("__q2")) | (x > F.col("__q3")))
+    return flags.withColumn("by_any", F.col("by_z") | F.col("by_iqr") | F.col("by_pct")).drop("__m", "__s", "__q0", "__q1", "__q2", "__q3")
 
 
 def box(rows: DataFrame, group: str, value: str, fence: float = 1.5) -> DataFrame:
     """Per group: count, quartiles, whiskers (the outermost values within the fences) and values beyond them."""
-    p = lambda s: F.percentile(value, F.lit(s))
-    edges = rows.groupBy(group).agg(p(0.25).alias("q1"), p(0.5).alias("q2"), p(0.75).alias("q3"))
+    edges = group_quantiles(rows, [group], value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - fence * iqr, F.col("q3") + fence * iqr)
     kept = F.when(inside, F.col(value))
-    # One row for each group; its size is that of a category, but nothing forces a broadcast.
     out = rows.join(edges, group).groupBy(group).agg(F.count("*").alias("n"), F.max("q1").alias("q1"), F.max("q2").alias("q2"), F.max("q3").alias("q3"), F.min(kept).alias("low"), F.max(kept).alias("high"), F.count_if(~inside).alias("beyond"))
     return out.select(group, "n", *(F.round(c, 4).alias(c) for c in ("q1", "q2", "q3", "low", "high")), "beyond")
 
 
-def even_fit(rows: DataFrame, key: str) -> DataFrame:
-    """chi2 against equal shares, degrees of freedom, n."""
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("o"))
-    one = counts.agg(F.count("*").alias("k"), F.sum("o").alias("n"), F.sum(F.col("o").cast("double") ** 2).alias("s"))
-    return one.select(F.round(F.col("s") * F.col("k") / F.col("n") - F.col("n"), 4).alias("chi2"), (F.col("k") - 1).alias("dof"), "n")
-
-
-def power_tail(rows: DataFrame, value: str, least: float) -> DataFrame:
-    """Exponent of a continuous power law by maximum likelihood on values of at least `least`, its standard error, the tail's size."""
-    tail = rows.filter(F.col(value) >= least).agg(F.count("*").alias("n"), F.sum(F.log(F.col(value) / least)).alias("s"))
-    return tail.select("n", F.round(1 + F.col("n") / F.col("s"), 4).alias("alpha"), F.round(F.sqrt("n") / F.col("s"), 4).alias("error"))
+def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
+    """bin (from 0), low, high, n: bins of equal width between the least and the greatest value, the last one closed. Empty bins aren't there."""
+    edges = rows.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b"))
+    width = (F.col("b") - F.col("a")) / bins
+    place = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("a")) / width), F.lit(bins - 1).cast("long"))).otherwise(0)
+    counts = rows.filter(F.col(value).isNotNull()).join(F.broadcast(edges)).groupBy(place.alias("bin"), "a", "b").agg(F.count("*").alias("n"))
+    return counts.select("bin", (F.col("a") + F.col("bin") * width).alias("low"), (F.col("a") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def moments(rows: DataFrame, value: str) -> DataFrame:
-    """Skewness, excess kurtosis (population) and the Jarque-Bera statistic, in one pass."""
-    one = rows.agg(F.count(value).alias("n"), F.skewness(value).alias("g"), F.kurtosis(value).alias("k"))
-    return one.select("n", F.round("g", 4).alias("skewness"), F.round("k", 4).alias("kurtosis"), F.round(F.col("n") / 6.0 * (F.col("g") ** 2 + F.col("k") ** 2 / 4.0), 2).alias("jarque_bera"))
+def log_histogram(rows: DataFrame, value: str, bins: int = 50) -> DataFrame:
+    """bin, low, high, n, density (share of all by width) over positive values: edges are evenly spaced in logarithms."""
+    logs = rows.filter(F.col(value) > 0).select(F.log10(value).alias("x"))
+    counts = histogram(logs, "x", bins)
+    total = counts.agg(F.sum("n").alias("total"))
+    low, high = F.pow(F.lit(10.0), F.col("low")), F.pow(F.lit(10.0), F.col("high"))
+    return counts.join(F.broadcast(total)).select("bin", low.alias("low"), high.alias("high"), "n", (F.col("n") / F.col("total") / (high - low)).alias("density"))

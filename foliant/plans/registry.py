@@ -33,30 +33,6 @@ def query(sql: str | None = None):
 # Roll-ups and joins
 
 
-@query("""
-    WITH r AS (SELECT l_partkey, count(*) AS n_rows, sum(l_quantity) AS weight_sum, sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0.0) AS wm, median(l_extendedprice) AS md, max(l_extendedprice) AS max_value
-               FROM lineitem GROUP BY l_partkey),
-    q AS (SELECT quantile_cont(round(wm, 4), 0.25) AS q1, quantile_cont(round(wm, 4), 0.75) AS q3 FROM r)
-    SELECT p_partkey, p_name, n_rows, weight_sum, round(wm, 4) AS weighted_mean, round(md, 4) AS median_value, max_value,
-           CASE WHEN wm IS NULL THEN NULL WHEN round(wm, 4) < q1 THEN 'low' WHEN round(wm, 4) > q3 THEN 'top' ELSE 'mid' END AS tier
-    FROM part LEFT JOIN r ON p_partkey = l_partkey, q""")
-def rollup_weighted(t):
-    works = O.weighted_rollup(t("lineitem"), "l_partkey", "l_extendedprice", "l_quantity")
-    q = F.broadcast(B.quantiles(works, "weighted_mean", [0.25, 0.75]))
-    x = F.col("weighted_mean")
-    tier = F.when(x.isNull(), None).when(x < F.col("q0"), "low").when(x > F.col("q1"), "top").otherwise("mid").alias("tier")
-    return t("part").join(works, F.col("p_partkey") == F.col("l_partkey"), "left").join(q).select("p_partkey", "p_name", "n_rows", "weight_sum", "weighted_mean", "median_value", "max_value", tier)
-
-
-@query("""
-    SELECT l_partkey, l_suppkey, n FROM (
-        SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, q DESC, CAST(l_suppkey AS VARCHAR)) AS rn
-        FROM (SELECT l_partkey, l_suppkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)) WHERE rn = 1""")
-def primary_owner(t):
-    counts = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    return O.first_by(counts, ["l_partkey"], [F.desc("n"), F.desc("q"), F.col("l_suppkey").cast("string")]).select("l_partkey", "l_suppkey", "n")
-
-
 @query("SELECT source, doc_id, size FROM (SELECT source, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def longest_text(t):
     # max_by in a map-side combined aggregate: no window over a source's rows.
@@ -82,11 +58,6 @@ def semi_keys(t):
     return t("orders").join(t("lineitem").filter("l_quantity > 45"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def anti_unmatched(t):
-    return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_written(t):
     return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id", "lang")
@@ -98,16 +69,6 @@ def coverage_table(t):
     return t("customer").join(n, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), (F.coalesce("n", F.lit(0)) > 0).alias("has_orders"))
 
 
-@query("""
-    WITH c AS (SELECT c_mktsegment, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)
-    SELECT c_mktsegment, count(*) AS total, count(*) FILTER (n > 0) AS covered, round(count(*) FILTER (n > 0) * 100.0 / count(*), 2) AS rate, round(avg(n), 4) AS mean_n, median(n) AS median_n, max(n) AS max_n FROM c GROUP BY c_mktsegment""")
-def coverage_summary(t):
-    n = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = t("customer").join(n, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_mktsegment", F.coalesce("n", F.lit(0)).alias("n"))
-    covered = F.count(F.when(F.col("n") > 0, 1))
-    return c.groupBy("c_mktsegment").agg(F.count("*").alias("total"), covered.alias("covered"), F.round(covered * 100.0 / F.count("*"), 2).alias("rate"), F.round(F.avg("n"), 4).alias("mean_n"), F.median("n").alias("median_n"), F.max("n").alias("max_n"))
-
-
 @query("""
     WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
     SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS in_both, count(*) FILTER (b.k IS NULL) AS only_left, count(*) FILTER (a.k IS NULL) AS only_right FROM a FULL JOIN b ON a.k = b.k""")
@@ -137,62 +98,12 @@ def fixed_bins(t):
     return t("part").groupBy(B.fixed_bins(F.col("p_size"), [0, 10, 25, 40, float("inf")], ["short", "medium", "long", "very long"]).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("""
-    WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS b, quantile_cont(c_acctbal, 0.75) AS c FROM customer)
-    SELECT c_custkey, CASE WHEN c_acctbal <= a THEN 'low' WHEN c_acctbal <= b THEN 'medium' WHEN c_acctbal <= c THEN 'high' ELSE 'very high' END AS bin FROM customer, q""")
-def quartile_bins(t):
-    x = F.col("c_acctbal")
-    bins = F.when(x <= F.col("q0"), "low").when(x <= F.col("q1"), "medium").when(x <= F.col("q2"), "high").otherwise("very high")
-    return B.with_quantiles(t("customer"), "c_acctbal", [0.25, 0.5, 0.75]).select("c_custkey", bins.alias("bin"))
-
-
-@query("""
-    WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders)
-    SELECT CASE WHEN o_totalprice < a THEN 'thrash' WHEN o_totalprice > b THEN 'top' ELSE 'mid' END AS tier, count(*) AS n, round(avg(o_totalprice), 2) AS mean_price FROM orders, q GROUP BY 1""")
-def price_tier(t):
-    x = F.col("o_totalprice")
-    tier = F.when(x < F.col("q0"), "thrash").when(x > F.col("q1"), "top").otherwise("mid")
-    return B.with_quantiles(t("orders").select("o_totalprice"), "o_totalprice", [0.25, 0.75]).groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"))
-
-
-#: Ordered rules, fixed values: class and pattern.
-TYPE_RULES = [("metal", "STEEL|BRASS|COPPER"), ("basic", "ECONOMY|STANDARD"), ("promo", "PROMO")]
-
-
-@query("SELECT p_type, CASE WHEN regexp_matches(p_type, 'STEEL|BRASS|COPPER') THEN 'metal' WHEN regexp_matches(p_type, 'ECONOMY|STANDARD') THEN 'basic' WHEN regexp_matches(p_type, 'PROMO') THEN 'promo' ELSE 'other' END AS grp, count(*) AS n FROM part GROUP BY 1, 2")
-def genre_group(t):
-    return t("part").groupBy("p_type", X.first_match(F.col("p_type"), TYPE_RULES, "other").alias("grp")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(lower(p_name), ' '))), ', ') AS canon FROM part")
-def genre_canon(t):
-    return t("part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " "))), ", ").alias("canon"))
-
-
-@query("SELECT doc_id, source FROM documents WHERE regexp_matches(lang, '^(en|eng)') AND length(trim(text)) >= 10")
-def code_regex_filter(t):
-    return t("documents").filter(F.col("lang").rlike("^(en|eng)") & (F.length(F.trim("text")) >= 10)).select("doc_id", "source")
-
-
 @query("SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE n >= 2 AND q >= 50")
 def engagement_cuts(t):
     busy = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q")).filter("n >= 2 and q >= 50")
     return t("orders").join(busy, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
 
 
-@query("""
-    WITH g AS (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY o_custkey), q AS (SELECT quantile_cont(n, 0.1) AS p10 FROM g)
-    SELECT o_custkey, n FROM g, q WHERE NOT (n <= p10 AND m <= 150000)""")
-def low_group_removal(t):
-    g = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"))
-    return B.with_quantiles(g, "n", [0.1]).filter(~((F.col("n") <= F.col("q0")) & (F.col("m") <= 150000))).select("o_custkey", "n")
-
-
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS balance, c_acctbal < 0 AS repaired FROM customer")
-def negative_repair(t):
-    return t("customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.col("c_acctbal")).alias("balance"), (F.col("c_acctbal") < 0).alias("repaired"))
-
-
 @query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct FROM orders GROUP BY 1")
 def value_counts(t):
     return O.value_counts(t("orders"), "o_orderpriority")
@@ -209,26 +120,11 @@ def multi_counts(t):
 _LABELLED = "(SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, round(count(*) FILTER ({c} IS NULL) * 100.0 / count(*), 2) AS pct_null, CASE WHEN count(*) FILTER ({c} IS NULL) * 100.0 / count(*) <= 1 THEN 'minimal' WHEN count(*) FILTER ({c} IS NULL) * 100.0 / count(*) <= 10 THEN 'moderate' WHEN count(*) FILTER ({c} IS NULL) * 100.0 / count(*) <= 50 THEN 'significant' ELSE 'extensive' END AS severity FROM {_LABELLED}" for c in ("lang", "quality", "toxic")))
-def missing_profile(t):
-    return O.profile(t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left"), ["lang", "quality", "toxic"])
-
-
 @query(f"SELECT doc_id, quality IS NULL AS quality_missing, toxic IS NULL AS toxic_missing FROM {_LABELLED}")
 def missing_flags(t):
     return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", F.col("quality").isNull().alias("quality_missing"), F.col("toxic").isNull().alias("toxic_missing"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count({c}) AS DOUBLE) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(median({c}), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q75, max({c}) AS max FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
-def describe_all(t):
-    return O.describe(t("lineitem"), ["l_quantity", "l_discount", "l_tax"])
-
-
-@query("SELECT " + ", ".join(f"round(quantile_cont(o_totalprice, {p / 100}), 4) AS p{p}" for p in (5, 10, 25, 50, 75, 90, 95)) + " FROM orders")
-def percentiles7(t):
-    return t("orders").agg(*(F.round(F.percentile("o_totalprice", F.lit(p / 100)), 4).alias(f"p{p}") for p in (5, 10, 25, 50, 75, 90, 95)))
-
-
 @query("SELECT count(*) AS processed, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (lang = 'en' AND length(text) >= 500) AS long_enough, round(count(*) FILTER (lang = 'en') * 100.0 / count(*), 2) AS pct_english FROM documents")
 def funnel(t):
     n = lambda c: F.count(F.when(c, 1))
@@ -286,65 +182,6 @@ def topn_per_cell(t):
     return O.ranked(rows, ["yr", "o_orderstatus"], [F.desc("o_totalprice"), F.col("o_orderkey")]).filter("rn <= 3").drop("rn")
 
 
-_QUOTA = """
-    WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
-    e AS (SELECT *, n * 500.0::DOUBLE / sum(n) OVER () AS exact FROM c),
-    q AS (SELECT *, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, o_orderstatus, o_orderpriority) AS rn, 500 - sum(floor(exact)) OVER () AS rest FROM e),
-    quota AS (SELECT o_orderstatus, o_orderpriority, n, CAST(floor(exact) + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q)"""
-
-
-@query(_QUOTA + " SELECT * FROM quota")
-def quota_table(t):
-    counts = t("orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
-    return O.quotas(counts, "n", 500, ["o_orderstatus", "o_orderpriority"])
-
-
-@query(_QUOTA + """ SELECT o_orderkey, o_orderstatus, o_orderpriority FROM (
-    SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rk FROM orders JOIN quota USING (o_orderstatus, o_orderpriority)) WHERE rk <= quota""")
-def stratified_sample(t):
-    rows = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    quota = O.quotas(rows.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")), "n", 500, ["o_orderstatus", "o_orderpriority"])
-    keyed = rows.join(F.broadcast(quota), ["o_orderstatus", "o_orderpriority"])
-    return O.hash_sample(keyed, ["o_orderstatus", "o_orderpriority"], "o_orderkey", F.col("quota")).select("o_orderkey", "o_orderstatus", "o_orderpriority")
-
-
-@query("SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) < '33' AS is_test, quality FROM labels")
-def train_test_split(t):
-    return t("labels").select("doc_id", (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2) < "33").alias("is_test"), "quality")
-
-
-@query("""
-    WITH r AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders)
-    SELECT least(CAST(floor((o_totalprice - a) / (b - a) * 18) AS BIGINT), 17) AS bin, count(*) AS n FROM orders, r GROUP BY 1""")
-def histogram(t):
-    o = t("orders").select("o_totalprice")
-    r = o.agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
-    bin_ = F.least(F.floor((F.col("o_totalprice") - F.col("a")) / (F.col("b") - F.col("a")) * 18), F.lit(17).cast("long"))
-    return o.join(F.broadcast(r)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT l_quantity AS x, round(1.0 - (sum(count(*)) OVER (ORDER BY l_quantity) - count(*)) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS ccdf FROM lineitem GROUP BY l_quantity")
-def ccdf(t):
-    counts = t("lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.count("*").alias("n"))
-    below, total = F.sum("n").over(Window.orderBy("x")) - F.col("n"), F.sum("n").over(Window.partitionBy())
-    return counts.select("x", F.round(1.0 - below / total, 6).alias("ccdf"))
-
-
-@query("SELECT round(avg(l_quantity), 4) AS mean, round(var_samp(l_quantity) / avg(l_quantity), 4) AS vmr, round(count(*) FILTER (l_quantity = 0) * 100.0 / count(*), 4) AS pct_zero, var_samp(l_quantity) / avg(l_quantity) > 1.5 AS overdispersed FROM lineitem")
-def dispersion(t):
-    q = F.col("l_quantity")
-    vmr = F.var_samp(q) / F.avg(q)
-    return t("lineitem").agg(F.round(F.avg(q), 4).alias("mean"), F.round(vmr, 4).alias("vmr"), F.round(F.count(F.when(q == 0, 1)) * 100.0 / F.count("*"), 4).alias("pct_zero"), (vmr > 1.5).alias("overdispersed"))
-
-
-@query("""
-    WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY ALL), r AS (SELECT a, sum(o) AS r FROM c GROUP BY a), k AS (SELECT b, sum(o) AS k FROM c GROUP BY b), t AS (SELECT sum(o) AS t FROM c),
-    x AS (SELECT r.a, k.b, r.r * k.k / CAST(t.t AS DOUBLE) AS e, coalesce(c.o, 0) AS o, t.t FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = r.a AND c.b = k.b)
-    SELECT round(sum((o - e) ** 2 / e), 4) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof, CAST(max(t) AS BIGINT) AS n, round(sqrt(sum((o - e) ** 2 / e) / (max(t) * (least(count(DISTINCT a), count(DISTINCT b)) - 1))), 4) AS cramers_v FROM x""")
-def chi2_indep(t):
-    return O.contingency(t("orders"), "o_orderstatus", "o_orderpriority")
-
-
 @query("""
     WITH g AS (SELECT o_orderstatus = 'F' AS f, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1)
     SELECT round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 4) AS d FROM g a, g b WHERE a.f AND NOT b.f""")
@@ -356,78 +193,25 @@ def cohens_d(t):
     return o.agg(F.round((F.avg(side("F")) - F.avg(side("O"))) / pooled, 4).alias("d"))
 
 
-@query("""
-    WITH v AS (SELECT l_quantity, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS na FROM lineitem GROUP BY 1),
-    r AS (SELECT *, sum(n) OVER (ORDER BY l_quantity) - n + (n + 1) / 2.0 AS rk FROM v)
-    SELECT round(CAST(sum(rk * na) AS DOUBLE) - sum(na) * (sum(na) + 1) / 2.0, 1) AS u, CAST(sum(na) AS BIGINT) AS n1, CAST(sum(n) - sum(na) AS BIGINT) AS n2 FROM r""")
-def mwu(t):
-    rows = t("lineitem").select("l_quantity", (F.col("l_returnflag") == "A").cast("long").alias("a"))
-    ranks = O.average_ranks(rows, "l_quantity")
-    sums = rows.groupBy("l_quantity").agg(F.count("*").alias("n"), F.sum("a").alias("na")).join(F.broadcast(ranks), "l_quantity")
-    na = F.sum("na")
-    return sums.agg(F.round(F.sum(F.col("avg_rank") * F.col("na")) - na * (na + 1) / 2, 1).alias("u"), na.alias("n1"), (F.sum("n") - na).alias("n2"))
-
-
 # Text
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), '\s+', ' ', 'g')) AS body, regexp_matches(html, '<[^>]+>') OR regexp_matches(html, '&[a-zA-Z#0-9]+;') AS had_html FROM pages")
-def html_clean(t):
-    return t("pages").select("page_id", X.clean_html(F.col("html")).alias("body"), X.has_html(F.col("html")).alias("had_html"))
-
-
 @query("SELECT event_id, array_to_string(json_keys(props), ',') AS keys, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_map_keys(t):
     return t("events").select("event_id", F.array_join(F.json_object_keys("props"), ",").alias("keys"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT p_partkey, len(string_split(p_name, ' ')) AS n_items, string_split(p_name, ' ')[1] AS first_item FROM part")
-def list_parse(t):
-    written = F.concat(F.lit("['"), F.replace("p_name", F.lit(" "), F.lit("', '")), F.lit("']"))
-    parts = X.list_parts(written)
-    return t("part").select("p_partkey", F.size(parts).cast("long").alias("n_items"), F.get(parts, F.lit(0)).alias("first_item"))
-
-
 @query(r"SELECT doc_id, len(s) AS n_sentences, max_len FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s, list_max(list_transform(s, lambda x: length(x))) AS max_len FROM documents WHERE lang = 'en')")
 def sentence_counts(t):
     s = t("documents").filter("lang = 'en'").select("doc_id", X.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", lambda x: F.length(x))).cast("long").alias("max_len"))
 
 
-@query("SELECT lang, count(*) AS n, round(avg(length(text)), 2) AS mean_chars, median(length(text)) AS median_chars, round(avg(n_chars), 2) AS mean_stated FROM documents GROUP BY lang")
-def length_by_group(t):
-    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 2).alias("mean_chars"), F.median(F.length("text")).alias("median_chars"), F.round(F.avg("n_chars"), 2).alias("mean_stated"))
-
-
-@query(r"""
-    WITH w AS (SELECT lang, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS word FROM documents WHERE lang = 'en')
-    SELECT lang, word, n FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rn FROM (SELECT lang, word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ('the', 'and') GROUP BY lang, word)) WHERE rn <= 20""")
-def top_words(t):
-    words = t("documents").filter("lang = 'en'").select("lang", F.explode(F.split(X.bare_words(F.col("text")), " ")).alias("word")).filter("length(word) > 2 and word not in ('the', 'and')")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    return O.ranked(counts, ["lang"], [F.desc("n"), F.col("word")]).filter("rn <= 20").drop("rn")
-
-
-@query(r"SELECT event_type, trim(regexp_replace(replace(replace(event_type, '-', ' '), '_', ' '), '\s+', ' ', 'g')) AS tag, count(*) AS n FROM events GROUP BY 1, 2")
-def tag_clean(t):
-    return t("events").groupBy("event_type", X.tag_key(F.col("event_type")).alias("tag")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS idx, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part)")
 def bridge_long(t):
     return t("part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("idx", "word")).select("p_partkey", (F.col("idx") + 1).cast("long").alias("idx"), "word")
 
 
-@query("""
-    WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)
-    SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS edit FROM w a JOIN w b ON a.w < b.w AND substr(a.w, 1, 1) = substr(b.w, 1, 1) AND abs(length(a.w) - length(b.w)) <= 3""")
-def alias_pairs(t):
-    words = t("part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().withColumn("k", F.substring("w", 1, 1))
-    a, b = words.select(F.col("w").alias("a"), "k"), words.select(F.col("w").alias("b"), "k")
-    pairs = a.join(b, "k").filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 3))
-    return pairs.select("a", "b", F.levenshtein("a", "b").cast("long").alias("edit"))
-
-
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON regexp_extract(c_name, '([0-9]+)', 1) = regexp_extract(s_name, '([0-9]+)', 1) AND c_nationkey = s_nationkey")
 def exact_match(t):
     key = lambda c: F.regexp_extract(c, "([0-9]+)", 1)
@@ -437,11 +221,6 @@ def exact_match(t):
 # Profiles of tails, boxes, dates and keys
 
 
-@query("SELECT CAST(floor(log10(o_totalprice) * 4) AS BIGINT) AS bin, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1")
-def log_histogram(t):
-    return t("orders").filter("o_totalprice > 0").groupBy(F.floor(F.log10("o_totalprice") * 4).alias("bin")).agg(F.count("*").alias("n"))
-
-
 @query("""
     WITH e AS (SELECT o_orderstatus, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
     f AS (SELECT o_orderstatus, o_totalprice AS x, q1, q2, q3, o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM orders JOIN e USING (o_orderstatus))
@@ -450,21 +229,6 @@ def boxplot_data(t):
     return O.box(t("orders"), "o_orderstatus", "o_totalprice")
 
 
-@query("WITH c AS (SELECT o_orderpriority, count(*) AS o FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1), s AS (SELECT sum(o) * 1.0 / count(*) AS e FROM c) SELECT round(sum((o - e) * (o - e) / e), 4) AS chi2, count(*) - 1 AS dof, CAST(sum(o) AS BIGINT) AS n FROM c, s")
-def chi2_gof(t):
-    return O.even_fit(t("orders"), "o_orderpriority")
-
-
-@query("SELECT count(*) AS n, round(1 + count(*) / sum(ln(o_totalprice / 150000.0)), 4) AS alpha, round(sqrt(count(*)) / sum(ln(o_totalprice / 150000.0)), 4) AS error FROM orders WHERE o_totalprice >= 150000.0")
-def power_law(t):
-    return O.power_tail(t("orders"), "o_totalprice", 150000.0)
-
-
-@query("WITH m AS (SELECT avg(l_extendedprice) AS m FROM lineitem), s AS (SELECT count(*) AS n, avg(power(l_extendedprice - m, 2)) AS m2, avg(power(l_extendedprice - m, 3)) AS m3, avg(power(l_extendedprice - m, 4)) AS m4 FROM lineitem, m), g AS (SELECT n, m3 / power(m2, 1.5) AS g, m4 / (m2 * m2) - 3 AS k FROM s) SELECT n, round(g, 4) AS skewness, round(k, 4) AS kurtosis, round(n / 6.0 * (g * g + k * k / 4.0), 2) AS jarque_bera FROM g")
-def normality(t):
-    return O.moments(t("lineitem"), "l_extendedprice")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n FROM lineitem) WHERE n > 1")
 def key_dups(t):
     keys = ["l_orderkey", "l_partkey"]
@@ -480,12 +244,6 @@ def year_counts_filled(t):
     return years.join(counts, "yr", "left").select("yr", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year, count(*) FILTER (year(o_orderdate) BETWEEN 1993 AND 1996) AS in_range, count(*) FILTER (year(o_orderdate) NOT BETWEEN 1993 AND 1996) AS out_of_range FROM orders")
-def year_range(t):
-    inside = F.year("o_orderdate").between(1993, 1996)
-    return t("orders").agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"), F.count_if(inside).alias("in_range"), F.count_if(~inside).alias("out_of_range"))
-
-
 @query("SELECT 'c_acctbal' AS column_name, count(*) FILTER (c_acctbal < 0) AS negative, count(*) FILTER (c_acctbal = 0) AS zero FROM customer UNION ALL SELECT 's_acctbal', count(*) FILTER (s_acctbal < 0), count(*) FILTER (s_acctbal = 0) FROM supplier")
 def negative_scan(t):
     one = lambda name, c: t(name).agg(F.count_if(F.col(c) < 0).alias("negative"), F.count_if(F.col(c) == 0).alias("zero")).select(F.lit(c).alias("column_name"), "negative", "zero")
@@ -502,22 +260,6 @@ def cut_impact(t):
 # Titles, words, matches, events
 
 
-@query(r"SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '([^/?#]+)/?([?#].*)?$', 1), '\.[a-zA-Z0-9]+$', ''), '[-_+]+', ' ', 'g'), '\s+', ' ', 'g'))) AS title FROM pages")
-def url_titles(t):
-    return t("pages").select("page_id", F.lower(X.url_title(F.col("url"))).alias("title"))
-
-
-@query("""
-    WITH d AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents) GROUP BY word),
-    r AS (SELECT *, CASE WHEN regexp_matches(word, '[a-z]{2}ies$') THEN regexp_replace(word, 'ies$', 'y') WHEN regexp_matches(word, '[a-rt-z]s$') THEN regexp_replace(word, 's$', '') ELSE word END AS root FROM d)
-    SELECT coalesce(s.word, r.word) AS canon, count(*) AS forms, CAST(sum(r.n) AS BIGINT) AS n FROM r LEFT JOIN d s ON s.word = r.root GROUP BY 1""")
-def plural_merge(t):
-    words = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    known = words.select(F.col("word").alias("root"))
-    merged = words.withColumn("root", X.singular(F.col("word"))).join(known.withColumn("found", F.lit(True)), "root", "left")
-    return merged.groupBy(F.when(F.col("found"), F.col("root")).otherwise(F.col("word")).alias("canon")).agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
-
-
 @query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: CASE WHEN x IN ('large', 'small') THEN '1' ELSE '0' END), '') AS flags, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('large', 'small')), ' ') AS content FROM part")
 def bridge_flags(t):
     words, noise = F.split("p_name", " "), ["large", "small"]
@@ -530,34 +272,6 @@ def bridge_summary(t):
     return long.agg(F.countDistinct("p_partkey").alias("works"), F.count("*").alias("tags"), F.countDistinct("w").alias("distinct_tags")).withColumn("mean_tags", F.round(F.col("tags") / F.col("works"), 4))
 
 
-_FUZZY = """WITH p AS (SELECT c_custkey, s_suppkey, round(1.0 - levenshtein(regexp_extract(c_name, '#(.*)', 1), regexp_extract(s_name, '#(.*)', 1)) / 9.0, 4) AS score
-    FROM customer JOIN supplier ON c_nationkey = s_nationkey AND right(c_name, 1) = right(s_name, 1)),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS rn FROM p) WHERE rn = 1 AND score >= 0.6)"""
-
-
-def _fuzzy(t):
-    """Best supplier of each customer by edit similarity of the number in the name. Pairs are made within blocks of nation and last
-    digit; a best partner is an aggregate, so no block is sorted or held."""
-    number = lambda c: F.regexp_extract(c, "#(.*)", 1)
-    pairs = t("customer").join(t("supplier"), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.right("c_name", F.lit(1)) == F.right("s_name", F.lit(1))))
-    scored = pairs.select("c_custkey", "s_suppkey", F.round(1.0 - F.levenshtein(number("c_name"), number("s_name")) / 9.0, 4).alias("score"))
-    best = scored.groupBy("c_custkey").agg(F.max(F.struct("score", (-F.col("s_suppkey")).alias("s"))).alias("b"))
-    return best.select("c_custkey", (-F.col("b.s")).alias("s_suppkey"), F.col("b.score").alias("score")).filter("score >= 0.6")
-
-
-@query(_FUZZY + " SELECT c_custkey, s_suppkey, score FROM best")
-def fuzzy_match(t):
-    return _fuzzy(t)
-
-
-@query(_FUZZY + " SELECT CASE WHEN score = 1 THEN 'exact' WHEN score >= 0.85 THEN 'high' ELSE 'low' END AS kind, count(*) AS n, round(avg(score), 4) AS mean_score, min(score) AS min_score, max(score) AS max_score, round(count(*) * 100.0 / (SELECT count(*) FROM customer), 2) AS pct FROM best GROUP BY 1")
-def match_report(t):
-    kind = F.when(F.col("score") == 1, "exact").when(F.col("score") >= 0.85, "high").otherwise("low").alias("kind")
-    total = t("customer").agg(F.count("*").alias("total"))
-    by = _fuzzy(t).groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
-    return by.join(F.broadcast(total)).withColumn("pct", F.round(F.col("n") * 100.0 / F.col("total"), 2)).drop("total")
-
-
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(t):
     counts = W.windowed_counts(t("events"), "ts", "event_type", "1 hour")
