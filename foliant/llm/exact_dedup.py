@@ -5,8 +5,9 @@ integer name; then names of adjacent pairs are sorted and named in the same way,
 name. Equal (level, name) means equal texts: names come from comparing contents, so nothing can collide.
 
 Before a shuffle each Arrow batch folds equal blocks into one row that lists where they occur (`refs`), so a block
-that a third of all rows share is one row for each batch, and texts cross the network once. A name is (partition, rank within
-its sorted partition); equal blocks are in one partition.
+that a third of all rows share is one row for each batch, and texts cross the network once. Folded rows are written with a number; only blocks and numbers are
+sorted and named, and names meet the refs by number, so that a common block's places are unfolded where its batches are, not in one task. A name is
+(partition, rank within its sorted partition); equal blocks are in one partition.
 
 Null counts as empty; texts of white space only equal the empty text. Of equal texts the row with most code points, then the
 smallest doc_id, then the first row stays. Repeated rows are rows like others. An empty table gives no rows.
@@ -29,16 +30,20 @@ REF = np.dtype([("row", "<i8"), ("idx", "<i4"), ("n", "<i4"), ("cp", "<i8"), ("d
 NAMED = "row long, idx int, n int, cp long, doc_id long, sha string, name long"
 
 
-def fold(keys: list[bytes], refs: np.ndarray) -> dict:
-    """One row for each distinct key of a batch, with all of its refs."""
+FOLDED = "fold long, key binary, refs binary"
+
+
+def fold(keys: list[bytes], refs: np.ndarray, first: int) -> dict:
+    """One row for each distinct key of a batch, with all of its refs, numbered from `first`."""
     by: dict[bytes, list[int]] = {}
     for i, k in enumerate(keys):
         by.setdefault(k, []).append(i)
-    return {"key": list(by), "refs": [refs[i].tobytes() for i in by.values()]}
+    return {"fold": np.arange(first, first + len(by)), "key": list(by), "refs": [refs[i].tobytes() for i in by.values()]}
 
 
 def text_blocks(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches):
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             keys, refs = [], []
             for doc, text, row in zip(b.column(0).to_pylist(), C.texts(b), b.column(2).to_pylist()):
@@ -48,30 +53,42 @@ def text_blocks(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", tex
                 for i in range(n):
                     keys.append(body[i * block : (i + 1) * block])
                     refs.append((row, i, n, len(text), doc or 0, doc is None, sha))
-            yield fold(keys, np.array(refs, REF))
+            yield fold(keys, np.array(refs, REF), at)
+            at += len(keys)
 
-    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (docs[C.ROW] if C.ROW in docs.columns else F.monotonically_increasing_id()).alias("row")), run, "key binary, refs binary")
+    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (docs[C.ROW] if C.ROW in docs.columns else F.monotonically_increasing_id()).alias("row")), run, FOLDED)
 
 
 def name_sorted(folded: DataFrame, parts: int) -> DataFrame:
-    """Names keys by their rank in a sorted partition and unfolds the refs."""
+    """fold, name: keys named by their rank in a sorted partition."""
 
     def run(batches):
         name, last = TaskContext.get().partitionId() << 40, None
         for b in batches:
-            names, refs = [], []
-            for key, ref in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            names = []
+            for key in b.column("key").to_pylist():
                 name += key != last
                 last = key
                 names.append(name)
-                refs.append(np.frombuffer(ref, REF))
+            yield {"fold": b.column("fold"), "name": names}
+
+    return C.arrow_map(folded.select("fold", "key").repartition(parts, "key").sortWithinPartitions("key"), run, "fold long, name long")
+
+
+def unfolded(folded: DataFrame, parts: int) -> DataFrame:
+    """One row for each place of the keys of a written table of folded rows, with the key's name."""
+
+    def run(batches):
+        for b in batches:
+            names = b.column("name").to_numpy()
+            refs = [np.frombuffer(x, REF) for x in b.column("refs").to_pylist()]
             r = np.concatenate(refs) if refs else np.empty(0, REF)
             yield {
                 "row": r["row"], "idx": r["idx"], "n": r["n"], "cp": r["cp"], "doc_id": [None if z else d for d, z in zip(r["doc"].tolist(), r["null"].tolist())],
-                "sha": [x.tobytes().hex() for x in r["sha"]], "name": np.repeat(np.array(names, np.int64), [len(x) for x in refs]),
+                "sha": [x.tobytes().hex() for x in r["sha"]], "name": np.repeat(names.astype(np.int64), [len(x) for x in refs]),
             }
 
-    return C.arrow_map(folded.repartition(parts, "key").sortWithinPartitions("key"), run, NAMED)
+    return C.arrow_map(folded.select("fold", "refs").join(name_sorted(folded, parts), "fold").select("name", "refs"), run, NAMED)
 
 
 def pair_keys(names: DataFrame) -> DataFrame:
@@ -80,25 +97,30 @@ def pair_keys(names: DataFrame) -> DataFrame:
     pairs = names.groupBy("row", half.alias("idx")).agg(F.max("n").alias("n"), F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
 
     def run(batches):
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             refs = np.zeros(b.num_rows, REF)
             refs["row"], refs["idx"], refs["n"] = b.column("row").to_numpy(), b.column("idx").to_numpy(), (b.column("n").to_numpy() + 1) // 2
             pair = np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()], axis=1).astype(">i8")
-            yield fold([x.tobytes() for x in pair], refs)
+            yield fold([x.tobytes() for x in pair], refs, at)
+            at += b.num_rows
 
-    return C.arrow_map(pairs, run, "key binary, refs binary")
+    return C.arrow_map(pairs, run, FOLDED)
 
 
 def identities(docs: DataFrame, scratch: C.Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(row, level, name) of every document, and (row, cp, doc_id, sha)."""
     spark = docs.sparkSession
     parts = C.buckets_for(spark, docs)
-    first = scratch.write(name_sorted(text_blocks(docs, block), parts), "level0")
+    named = lambda folds, n, k: scratch.write(unfolded(scratch.write(folds, f"folded{k}", plain=["key", "refs"]), n), f"level{k}")
+    first = named(text_blocks(docs, block), parts, 0)
+    scratch.drop("folded0")
     facts = first.filter("idx = 0").select("row", "cp", "doc_id", "sha")
     level, cur, done = 0, first, [first.filter("n = 1").select("row", F.lit(0).alias("level"), "name")]
     while (more := cur.filter("n > 1")).head(1):
         level += 1
-        cur = scratch.write(name_sorted(pair_keys(more.select("row", "idx", "n", "name")), C.buckets_for(spark, more, 8 << 20)), f"level{level}")
+        cur = named(pair_keys(more.select("row", "idx", "n", "name")), C.buckets_for(spark, more, 8 << 20), level)
+        scratch.drop(f"folded{level}")
         done.append(cur.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
     out = done[0]
     for d in done[1:]:
@@ -111,6 +133,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     scratch = C.Scratch(docs.sparkSession, "exact")
     names, facts = identities(docs, scratch, block)
     rows = scratch.write(names.join(facts, "row"), "rows")
+    scratch.keep_only("rows")
     best = F.min(F.struct((-F.col("cp")).alias("cp"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))).alias("best")
     groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best)
     # Most texts have no copy; only groups of two or more need the join.
