@@ -23,7 +23,7 @@ RATE, STORED_RATE, BLOCK = 8000, 16000, 256
 #: WAV format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "ima": 17}
 CODECS = ("mulaw", "alaw", "ima")
-#: The IMA index steps are fixed values of the format; the 89 step sizes follow the rule below.
+#: The IMA index steps.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 #: The IMA step sizes.
 STEPS = np.array(
@@ -147,31 +147,40 @@ def codec_for(body: bytes) -> str:
     return CODECS[zlib.crc32(body) % len(CODECS)]
 
 
-def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, media (binary WAV), pcm (binary, 16-bit little-endian at STORED_RATE)."""
+def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pcm: bool = True) -> DataFrame:
+    """id_col, n_bytes (of the text), media (binary WAV), and with `pcm` pcm (binary, 16-bit little-endian at STORED_RATE): columns to be stored."""
 
     def run(batches):
         for b in batches:
-            media = [store(p, codec_for(p)) for p in map(payload, C.raw_texts(b))]
-            parsed = list(map(parse, media))
-            yield {"id": b.column(0), "media": media, "pcm": [resample(x, p[1], STORED_RATE).astype("<i2").tobytes() for p, x in zip(parsed, pcm_of_many(parsed))]}
+            raw = C.raw_texts(b)
+            media = [store(p, codec_for(p)) for p in map(payload, raw)]
+            out = {"id": b.column(0), "n_bytes": list(map(len, raw)), "media": media}
+            yield out | ({"pcm": pcm_of_media(media)} if pcm else {})
+
+    kinds = "id long, n_bytes long, media binary" + (", pcm binary" if pcm else "")
+    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), run, kinds, batch_mb=16).withColumnRenamed("id", id_col)
 
-    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), run, "id long, media binary, pcm binary").withColumnRenamed("id", id_col)
+
+def pcm_of_media(media: list[bytes]) -> list[bytes]:
+    """Stored forms as PCM bytes at STORED_RATE, decoded together."""
+    parsed = list(map(parse, media))
+    return [resample(x, p[1], STORED_RATE).astype("<i2").tobytes() for p, x in zip(parsed, pcm_of_many(parsed))]
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """The columns of the media query, from the bytes read back."""
+    """The columns of the media query: media columns are written to the shared folder, read back, decoded and resampled."""
+    scratch = C.Scratch(docs.sparkSession, "media")
+    stored = scratch.write(encode_media(docs.select("doc_id", "text"), pcm=False), "media", plain=["media"])
 
     def run(batches):
         for b in batches:
-            raw = C.raw_texts(b)
-            media = [store(p, codec_for(p)) for p in map(payload, raw)]
+            media = b.column("media").to_pylist()
             parsed = list(map(parse, media))
             back = [payload_of(codec, block, data) for codec, _, block, data in parsed]
             yield {
-                "doc_id": b.column(0), "n_bytes": list(map(len, raw)), "payload_bytes": list(map(len, back)), "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back],
+                "doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "payload_bytes": list(map(len, back)), "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back],
                 "tail_crc32": [zlib.crc32(p[-64:]) for p in back], "media_bytes": list(map(len, media)), "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-                "feature": [feature(resample(x, p[1], STORED_RATE), p[0]) for p, x in zip(parsed, pcm_of_many(parsed))],
+                "feature": [feature(np.frombuffer(x, "<i2"), p[0]) for p, x in zip(parsed, pcm_of_media(media))],
             }
 
-    return C.arrow_map(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return C.arrow_map(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", batch_mb=16)
