@@ -135,7 +135,7 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
             rows += messages("pair", batch, own.pair_keys, pair_counts[own.pair_order], buckets)
             yield columns(rows)
 
-    return C.arrow_map(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), run, ROW)
+    return C.arrow_map(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), run, ROW, batch_mb=16)
 
 
 def grouped(batches, key: str):
@@ -145,7 +145,7 @@ def grouped(batches, key: str):
 
 
 def answer(asked: DataFrame, kind: str, parts: int) -> DataFrame:
-    """Rows of kinds `kind`_counts (counts in the order asked; which of them the batch owns), `kind`_model, `kind`_facts."""
+    """Rows of kinds `kind`_counts (counts in the order asked; which of them the batch owns) and `kind`_facts."""
 
     def run(batches):
         for bucket, group in grouped(batches, "bucket"):
@@ -161,12 +161,11 @@ def answer(asked: DataFrame, kind: str, parts: int) -> DataFrame:
                 at += len(k)
             real = total[~np.isin(known, MARKS[1:])] if kind == "word" else total
             facts = {"types": int((real > 0).sum()), "tokens": int(real.sum(dtype=np.int64)), "of": np.bincount(np.minimum(real, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tolist()}
-            rows.append((f"{kind}_model", -1, bucket, squeeze_sorted(known[total > 0]), squeeze(total[total > 0])))
             rows.append((f"{kind}_facts", -1, bucket, json.dumps(facts).encode(), b""))
             yield columns(rows)
 
     own = asked.filter(F.col("kind") == kind).select("batch", "bucket", "a", "b")
-    return C.arrow_map(own.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch"), run, ROW)
+    return C.arrow_map(own.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch"), run, ROW, batch_mb=16)
 
 
 def gather_facts(answers: DataFrame, kind: str) -> dict:
@@ -264,7 +263,7 @@ def history_sums(rows: DataFrame, model: Model, buckets: int, parts: int) -> Dat
             order = own.word_order[seen[own.word_order] > 0]
             yield columns(messages("sums", batch, own.words[order], np.stack([seen[order], mass[order]], axis=1).ravel().view("<c16"), buckets))
 
-    return C.arrow_map(rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "bucket"), run, ROW)
+    return C.arrow_map(rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "bucket"), run, ROW, batch_mb=16)
 
 
 def weights(asked: DataFrame, sums: DataFrame, parts: int) -> DataFrame:
@@ -295,7 +294,7 @@ def weights(asked: DataFrame, sums: DataFrame, parts: int) -> DataFrame:
             yield columns(out)
 
     both = asked.filter("kind = 'word'").unionByName(sums)
-    return C.arrow_map(both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "batch"), run, ROW)
+    return C.arrow_map(both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "batch"), run, ROW, batch_mb=16)
 
 
 def scores(rows: DataFrame, model: Model, parts: int) -> DataFrame:
@@ -314,7 +313,7 @@ def scores(rows: DataFrame, model: Model, parts: int) -> DataFrame:
                 "base_score": add(model.base(c)[tok]), "score": add(np.log10(prob)[own.of_token]),
             }
 
-    return C.arrow_map(rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "bucket"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return C.arrow_map(rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "bucket"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", batch_mb=16)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
