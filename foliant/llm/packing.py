@@ -28,7 +28,9 @@ from pyspark.sql.window import Window
 from . import common as C
 from .merges import PairTable
 
-SIZE, END, SALTS = 2048, 1, 64
+SIZE, END = 2048, 1
+#: Pieces of one length that a task ranks, about.
+RANKED = 200_000
 
 
 class WordTokenizer:
@@ -55,7 +57,7 @@ class WordTokenizer:
         self.table = PairTable(((vocab[a], vocab[b], i) for i, (a, b) in enumerate(pairs)), np.array([vocab[a + b] for a, b in pairs]), max(vocab.values()) + 1)
         names = byte_names()
         self.inner, self.final = (np.array([vocab[n + s] for n in names], np.int32) for s in ("", suffix))
-        self.memo = C.Memo(self.words)
+        self.memo = C.Memo(self.words, 1_000_000, 64 << 20)
 
     def words(self, words: list[str]) -> list[bytes]:
         raw = [w.encode() for w in words]
@@ -160,8 +162,10 @@ def pack(cut: DataFrame, scratch: C.Scratch, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces."""
     spark = cut.sparkSession
     # Full pieces are sequences of their own and are counted like the others, as the length `size`.
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(SALTS)))
-    counts = salted.groupBy("length", "salt").count().orderBy("length", "salt").collect()  # at most size * SALTS rows
+    # Common lengths, such as full pieces, are dealt out to as many tasks as their count asks for.
+    of_length = scratch.write(cut.groupBy("length").agg((F.floor(F.count("*") / RANKED) + 1).alias("salts")), "lengths")  # at most size rows
+    salted = cut.join(F.broadcast(of_length), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "start"), F.col("salts"))).drop("salts")
+    counts = salted.groupBy("length", "salt").count().orderBy("length", "salt").collect()  # at most size, and one for each RANKED pieces
     first, histogram = [], {}
     for r in counts:
         first.append((r["length"], r["salt"], histogram.get(r["length"], 0)))
