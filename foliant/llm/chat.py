@@ -1,8 +1,8 @@
 """Operator 10: relational chat formatting, with Spark expressions only.
 
 Turns are collected as structs in two steps, first by (conversation, stretch of turn numbers), then by
-conversation, so that a long conversation is pre-aggregated before it meets in one row. Collected structs are sorted
-and adjacent turns of one role are merged by an array aggregate; merged runs are concatenated.
+conversation, so that a long conversation is pre-aggregated before it meets in one row. Collected structs are sorted;
+each is marked as opening a run or going on with its neighbour's role, and the marked turns are joined into one text by array functions.
 
 Template: <|im_start|>role NEWLINE text <|im_sep|> text ... <|im_end|> NEWLINE. Inside roles and texts "&" becomes "&amp;"
 and "<|" becomes "&lt;|" (in roles also a line break "&nl;"), so no control string can occur there and
@@ -69,8 +69,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
         (acc["at"] + x["before"] + x["size"] + x["after"]).alias("at"),
         F.when(x["learns"], F.concat(acc["mask"], F.array(F.struct((acc["at"] + x["before"]).cast("long").alias("start"), x["size"].cast("long").alias("length"))))).otherwise(acc["mask"]).alias("mask"),
     )
-    mask = F.aggregate("sizes", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("mask")), step, lambda acc: acc["mask"])
-    return formatted.withColumn("parsed", parse).withColumn("sizes", sizes).select("conv_id", "formatted", turns.alias("turns"), mask.alias("mask"))
+    # In stretches: an array grows by copies, so one of all turns would cost their square.
+    long = F.lit(0).cast("long")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("sizes"), F.lit(1)) - 1) / STRETCH).cast("int")), lambda k: F.slice("sizes", k * STRETCH + 1, F.lit(STRETCH)))
+    total = lambda s: F.aggregate(s, long, lambda n, x: n + x["before"] + x["size"] + x["after"])
+    begins = F.aggregate("totals", F.struct(long.alias("at"), F.array().cast("array<bigint>").alias("all")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+    of_stretch = lambda s, at: F.aggregate(s, F.struct(at.alias("at"), empty.alias("mask")), step, lambda acc: acc["mask"])
+    whole = formatted.withColumn("parsed", parse).withColumn("sizes", sizes).select("conv_id", "formatted", turns.alias("turns"), cut.alias("cut"))
+    whole = whole.withColumn("totals", F.transform("cut", total))
+    return whole.select("conv_id", "formatted", "turns", F.flatten(F.zip_with("cut", begins, of_stretch)).alias("mask"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
