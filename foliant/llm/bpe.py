@@ -36,7 +36,7 @@ class Bpe:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         halves = ((ranks.get(t[:cut]), ranks.get(t[cut:]), i) for t, i in ranks.items() for cut in range(1, len(t)))
         self.table = PairTable((x for x in halves if None not in x), np.arange(size), size)
-        self.memo = C.Memo(self.encode_pretokens)
+        self.memo = C.Memo(self.encode_pretokens, 1_000_000, 64 << 20)
 
     def encode_pretokens(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
@@ -73,7 +73,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for b in batches:
             yield {"id": b.column(0), "ids": [x.tobytes() for x in bpe.encode_many(C.texts(b))]}
 
-    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), run, "id long, ids binary").withColumnRenamed("id", id_col)
+    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), run, "id long, ids binary", batch_mb=16).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -84,7 +84,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             yield {"id": b.column(0), "text": [bpe.decode(np.frombuffer(x or b"", "<u4")).decode(errors="replace") for x in b.column(1).to_pylist()]}
 
-    return C.arrow_map(encoded.select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].alias("ids")), run, "id long, text string").withColumnRenamed("id", id_col)
+    return C.arrow_map(encoded.select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].alias("ids")), run, "id long, text string", batch_mb=16).withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -100,4 +100,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield {"doc_id": b.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
-    return C.arrow_map(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return C.arrow_map(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", batch_mb=16)

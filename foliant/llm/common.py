@@ -32,6 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: All folders that this process has made, in order; a caller that has read an operator's result may remove them.
+MADE: list[Scratch] = []
+
+
 class Scratch:
     """Tables of one operator run, under one folder of the shared directory.
 
@@ -41,6 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        MADE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -63,6 +68,18 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *names: str) -> None:
+        """Drops all tables but those that the operator's result reads."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            self.drop(*(x for s in fs.listStatus(path) if (x := s.getPath().getName()) not in names))
+
+    def remove(self) -> None:
+        """Drops the folder; the operator's result can't be read after this."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def collect_garbage(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of finished steps: once no plan of theirs is held, here or in the JVM."""
         gc.collect()
@@ -84,11 +101,12 @@ def buckets_for(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // bytes_each)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow for functions that yield dicts of columns (lists or numpy arrays), with Arrow batches of bounded bytes."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, batch_mb: int = 4) -> DataFrame:
+    """mapInArrow for functions that yield dicts of columns (lists or numpy arrays), with Arrow batches of bounded bytes: few for steps that
+    hold many times a batch's size, more for those that fold equal values of a batch. The bound is a setting of the session, and stays."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_mb << 20))
     kinds = pa.schema([pa.field(c, t) for c, t in ((x.name, _arrow(x.dataType.simpleString())) for x in _struct(spark, schema))])
 
     def run(batches):

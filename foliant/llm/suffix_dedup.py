@@ -207,6 +207,7 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     wanted = scratch.write(hits.groupBy("row").agg(F.collect_set("key").alias("keys")), "wanted")  # a document's own keys
     scratch.drop("hits")
     met = scratch.write(contexts(texts.join(wanted.withColumnRenamed("row", ROW), ROW), span, gram), "contexts")
+    scratch.drop("wanted")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos")).alias("f")
     folded = met.groupBy("key", "cid").agg(first, F.count("*").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("context").alias("context"))
     folded = folded.select("key", "cid", "n", "low", "high", "context", F.col("f.doc_id").alias("first_doc"), F.col("f.row").alias("first_row"), F.col("f.pos").alias("first_pos"))
