@@ -219,7 +219,8 @@ def is_english(code: Column) -> Column:
 def language_score(c: Column, words: dict[str, list[str]]) -> Column:
     """The language with most of its frequent words in the text (the first of equal ones); null without any."""
     tokens = F.split(squeezed(F.lower(c)), r"[^\p{L}]+")
-    hits = [F.struct(F.size(F.filter(tokens, lambda t, own=own: t.isin(own))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(words.items())]
+    among = lambda own: F.size(F.filter(tokens, lambda t: t.isin(own)))
+    hits = [F.struct(among(own).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(words.items())]
     best = F.greatest(*hits)
     return F.when(best.n > 0, best.lang)
 

@@ -69,6 +69,18 @@ def header(text: Column, most: int = 200) -> Column:
     return F.coalesce(F.get(lines, F.lit(0)), F.lit("")).substr(1, most)
 
 
+#: Names of columns that hold a record's text, the likeliest first.
+TEXT_COLUMNS = "text content body raw document data excerpt".split()
+
+
+def main_text(names: list[str]) -> Column:
+    """A record's text: of the table's text columns (names) the first likely one that isn't blank, else the longest; null where all are blank."""
+    filled = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    likely = [filled(c) for c in TEXT_COLUMNS if c in names]
+    longest = F.array_max(F.array(*(F.struct(F.coalesce(F.length(filled(c)), F.lit(0)).alias("n"), F.lit(-k).alias("k"), filled(c).alias("t")) for k, c in enumerate(names))))
+    return F.coalesce(*likely, longest.t)
+
+
 def url_title(url: Column) -> Column:
     """A title of two words or more from the last part of a URL, null else."""
     rest = F.regexp_replace(F.regexp_replace(url, r"^.*?://", ""), "/+$", "")

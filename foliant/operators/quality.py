@@ -345,3 +345,15 @@ def run_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """metric, a, b, change over two runs' (metric, value); a metric of one run only has nulls."""
     both = a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric", "full")
     return both.withColumn("change", F.col("b") - F.col("a"))
+
+
+def tier_summary(reviews: DataFrame, tier: str, work: str, text: str, rating: str) -> DataFrame:
+    """Twelve figures a tier: reviews, works, mean and median reviews a work, mean and median length in characters and words, mean and median rating, reviews with one."""
+    own = reviews.filter(F.col(tier).isNotNull()).select(tier, work, F.length(text).alias("chars"), C.word_count(F.col(text)).alias("words"), F.col(rating).cast("double").alias("rating"))
+    per = own.filter(F.col(work).isNotNull()).groupBy(tier, work).agg(F.count("*").alias("n"))
+    one = own.groupBy(tier).agg(F.count("*").alias("reviews"), F.avg("chars").alias("mean_chars"), F.avg("words").alias("mean_words"), F.avg("rating").alias("mean_rating"), F.count("rating").alias("rated"))
+    works = per.groupBy(tier).agg(F.count("*").alias("works"), F.avg("n").alias("mean_per_work"))
+    medians = quantiles(own, ["chars", "words", "rating"], [0.5], [tier]).groupBy(tier).pivot("column_name", ["chars", "words", "rating"]).agg(F.max("q0"))
+    medians = medians.withColumnsRenamed({"chars": "median_chars", "words": "median_words", "rating": "median_rating"})
+    per_work = quantiles(per, ["n"], [0.5], [tier]).select(tier, F.col("q0").alias("median_per_work"))
+    return one.join(works, tier, "left").join(per_work, tier, "left").join(medians, tier, "left")

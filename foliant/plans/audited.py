@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import clean as C
 from ..operators import core as O
 from ..operators import quality as Q
+from .cleaned import dealt
 from .registry import query
 
 _LABELLED = "(SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
@@ -231,3 +233,23 @@ def run_difference(t):
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 46)")
 def anti_unmatched(t):
     return t("part").join(t("lineitem").filter("l_quantity > 46"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey", "p_name")
+
+
+@query(r"""
+    WITH d AS (SELECT lang, source, length(text) AS c, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END AS w, quality AS q FROM documents LEFT JOIN labels USING (doc_id)),
+    p AS (SELECT lang, source, count(*) AS n FROM d GROUP BY ALL)
+    SELECT lang, count(*) AS reviews, round(avg(c), 4) AS mean_chars, median(c) AS median_chars, round(avg(w), 4) AS mean_words, median(w) AS median_words, round(avg(q), 4) AS mean_rating, median(q) AS median_rating, count(q) AS rated,
+           (SELECT count(*) FROM p WHERE p.lang = d.lang) AS works, (SELECT round(avg(n), 4) FROM p WHERE p.lang = d.lang) AS mean_per_work, (SELECT median(n) FROM p WHERE p.lang = d.lang) AS median_per_work FROM d GROUP BY lang""")
+def tier_summary(t):
+    rows = t("documents").select("doc_id", "lang", "source", "text").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    out = Q.tier_summary(rows, "lang", "source", "text", "quality")
+    return out.withColumns({c: F.round(c, 4) for c in ("mean_chars", "mean_words", "mean_rating", "mean_per_work")})
+
+
+_TEXT_LISTS = ["['1', '2']", "a;b", "", None, "nan", "x"]
+
+
+@query(f"SELECT m AS metric, round(v, 4) AS value FROM (SELECT CAST(count(*) FILTER (k NOT IN (2, 3)) AS DOUBLE) AS given, CAST(count(*) FILTER (k IN (0, 1, 5)) AS DOUBLE) AS parsed, CAST(count(*) FILTER (k IN (2, 3, 4)) AS DOUBLE) AS empty, count(*) FILTER (k IN (0, 1, 5)) * 100.0 / count(*) FILTER (k NOT IN (2, 3)) AS success_pct, count(*) FILTER (k = 0) * 200.0 / (count(*) FILTER (k IN (0, 1)) * 2 + count(*) FILTER (k = 5)) AS numeric_pct FROM (SELECT p_partkey % {len(_TEXT_LISTS)} AS k FROM part)) UNPIVOT (v FOR m IN (given, parsed, empty, success_pct, numeric_pct))")
+def list_validation(t):
+    own = t("part").select(dealt(_TEXT_LISTS).alias("x")).withColumn("items", C.parsed_list(F.col("x")))
+    return Q.list_validation(own, "x", "items").withColumn("value", F.round("value", 4))

@@ -171,3 +171,19 @@ def cluster_report(t):
     tags = _counts(t).filter("shelf_canon != ''").groupBy("shelf_canon").agg(F.sum("count").alias("count"))
     out = G.cluster_report(G.clustered(tags))
     return out.select(F.concat_ws("/", "cluster_type", "cluster_name").alias("cluster"), "n_tags", "total", F.array_join("top_tags", "|").alias("top"))
+
+
+_LONG = "z AS (SELECT g.work_id, g.i, g.canon FROM g)"
+
+
+@query(f"WITH {_BRIDGE}, {_LONG} SELECT m AS metric, v AS value FROM (SELECT CAST(count(*) AS DOUBLE) AS rows, 0.0::DOUBLE AS null_keys, CAST(count(*) FILTER (canon IS NULL) AS DOUBLE) AS null_values, CAST(count(*) FILTER (trim(canon) = '') AS DOUBLE) AS blank, 0.0::DOUBLE AS control, CAST(count(*) FILTER (length(regexp_replace(canon, '[^[:punct:]]', '', 'g')) > length(canon) / 2) AS DOUBLE) AS punctuation, 0.0::DOUBLE AS duplicates FROM (SELECT work_id, canon FROM z UNION ALL SELECT work_id, NULL FROM b WHERE len(shelves) = 0)) UNPIVOT (v FOR m IN (rows, null_keys, null_values, blank, control, punctuation, duplicates))")
+def long_check(t):
+    return G.long_check(G.exploded(G.bridge(*_bridged(t)), "shelves_canon", "work_id"), "value")
+
+
+@query(rf"""
+    WITH {_COUNTS}, s AS (SELECT DISTINCT canon, CASE WHEN len(p) > 0 THEN p ELSE [canon] END AS parts FROM (SELECT canon, regexp_extract_all(canon, '[a-z]+|[0-9]+') AS p FROM k) WHERE length(canon) >= 4)
+    SELECT m AS metric, round(v, 6) AS value FROM (SELECT CAST(count(*) AS DOUBLE) AS tags, CAST(count(*) FILTER (len(parts) > 1) AS DOUBLE) AS several, avg(len(parts)) AS mean_parts, CAST(sum(len(parts)) AS DOUBLE) AS parts, (SELECT CAST(count(DISTINCT x) AS DOUBLE) FROM (SELECT unnest(parts) AS x FROM s)) AS distinct_parts FROM s) UNPIVOT (v FOR m IN (tags, several, mean_parts, parts, distinct_parts))""")
+def segmentation_statistics(t):
+    out = G.segmentation_statistics(G.segmented(_counts(t))).filter("metric != 'accepted'")
+    return out.withColumn("value", F.round("value", 6))

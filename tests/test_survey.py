@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant import runners
-from foliant.functions import clean, distributions, similarity
+from foliant.functions import clean, distributions, headers, similarity
 from foliant.models import hybrid, search, topics
 from foliant.operators import matching, quality, quantiles, sampling, sentences, stats, tagging, works
 from foliant.plans import catalogue
@@ -86,9 +86,9 @@ def test_power_law(spark):
     x = np.concatenate([x, draw.integers(1, 5, 800)])
     got = stats.power_law(spark.createDataFrame([(float(v),) for v in x], "x double"), "x").first()
 
-    def zeta(s, q):
-        n = np.arange(0, 20_000)
-        return float((1.0 / (q + n) ** s).sum() + (q + 20_000) ** (1 - s) / (s - 1) + 0.5 * (q + 20_000) ** -s)
+    def zeta(s, q, scale):
+        y = (q + np.arange(0, 20_001)) / scale
+        return float((y[:-1] ** -s).sum() + y[-1] ** -s * ((q + 20_000) / (s - 1) + 0.5))
 
     kinds = np.unique(x)
     step = max(1, math.ceil(len(kinds) / 100))
@@ -96,7 +96,7 @@ def test_power_law(spark):
     for m in kinds[::step]:
         tail = np.sort(x[x >= m])
         alpha = 1 + len(tail) / np.log(tail / (m - 0.5)).sum()
-        gaps = [abs((tail <= v).mean() - (1 - zeta(alpha, v + 1) / zeta(alpha, m))) for v in np.unique(tail)] if len(tail) else [1]
+        gaps = [abs((tail <= v).mean() - (1 - zeta(alpha, v + 1, m) / zeta(alpha, m, m))) for v in np.unique(tail)] if len(tail) else [1]
         if alpha > 1 and (best is None or max(gaps) < best[0]):
             best = (max(gaps), m, alpha, len(tail))
     assert (got.xmin, got.n_tail) == (best[1], best[3]) and got.alpha == pytest.approx(best[2]) and got.ks == pytest.approx(best[0], abs=1e-6)
@@ -219,6 +219,12 @@ def test_markup_and_marks(spark):
     assert [r.e for r in langs] == [True, False, False, False, False]
 
 
+def test_main_text(spark):
+    df = spark.createDataFrame([(" ", "short", "the longest of them"), (None, None, ""), ("abc", "x" * 50, None), ("", "ab", "cd")], "body string, note string, zzz string")
+    got = [r[0] for r in df.select(headers.main_text(df.columns)).collect()]
+    assert got == ["the longest of them", None, "abc", "ab"]
+
+
 def test_readers(spark, tmp_path):
     a, b = tmp_path / "a.json", tmp_path / "b.json"
     a.write_text('{"work_id": "1", "v": "first and longer than the other file by far"}\n{"work_id": "2", "v": "x"}\n{"work_id": "2", "v": "y"}\n')
