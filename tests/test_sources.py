@@ -14,7 +14,7 @@ def test_json_lines_skip_bad_lines(spark, tmp_path):
         f.write('{"a": "1", "b": "x"}\n\nnot json\n{"a": "2"}\n{"a": "1", "b": "y"}\n')
     rows = readers.json_lines(spark, str(path), "a string, b string")
     assert sorted((r.a, r.b) for r in rows.collect()) == [("1", "x"), ("1", "y"), ("2", None)]
-    assert sorted((r.a, r.b) for r in readers.last_by_key(rows, ["a"]).collect()) == [("1", "y"), ("2", None)]
+    assert sorted((r.a, r.b) for r in readers.json_lookup(spark, str(path), "a string, b string", ["a"]).collect()) == [("1", "y"), ("2", None)]
     bad = readers.json_lines_with_errors(spark, str(path), "a string, b string")
     assert [r._corrupt_record for r in bad.collect() if r._corrupt_record] == ["not json"]
 
