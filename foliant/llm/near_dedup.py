@@ -151,9 +151,11 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGL
     first = met.join(named("a"), F.col("row") == F.col("__a")).join(named("b"), (F.col("least") == F.col("__b")) & alike("a", "b")).filter((F.col("row") != F.col("least")) & fits("size", "least_size") & within("fp", "least_fp")).select(F.least("least", "row").alias("a"), F.greatest("least", "row").alias("b"))
     links = verify(first, text, similar, shingle, scratch, "links")
     groups = C.connected_components(links, scratch, "first")
-    labelled = scratch.write(met.join(groups, F.col("row") == F.col("node"), "left").join(drawn, "row").select("key", "row", "size", "fp", F.coalesce("component", "row").alias("c"), *(f"s{i}" for i in range(LONGS))), "labelled")
-    left, right = (labelled.select("key", *(F.col(x).alias(f"{x}{side}") for x in ("row", "size", "fp", "c", *(f"s{i}" for i in range(LONGS))))) for side in "ab")
-    rest = left.join(right, (left.key == right.key) & (F.col("rowa") < F.col("rowb")) & (F.col("ca") != F.col("cb")) & fits("sizea", "sizeb") & within("fpa", "fpb") & alike("a", "b"))
+    # At most BANDS keys a row: a pair is made at the first key that both have, and not again at the others.
+    keys = met.groupBy("row").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    labelled = scratch.write(met.join(groups, F.col("row") == F.col("node"), "left").join(drawn, "row").join(keys, "row").select("key", "row", "size", "fp", "keys", F.coalesce("component", "row").alias("c"), *(f"s{i}" for i in range(LONGS))), "labelled")
+    left, right = (labelled.select("key", *(F.col(x).alias(f"{x}{side}") for x in ("row", "size", "fp", "c", "keys", *(f"s{i}" for i in range(LONGS))))) for side in "ab")
+    rest = left.join(right, (left.key == right.key) & (F.col("rowa") < F.col("rowb")) & (F.col("ca") != F.col("cb")) & fits("sizea", "sizeb") & within("fpa", "fpb") & alike("a", "b") & (F.array_min(F.array_intersect("keysa", "keysb")) == left.key))
     # Pairs with the key's least row have been compared already.
     rest = rest.select(F.col("rowa").alias("a"), F.col("rowb").alias("b")).distinct().join(first.distinct(), ["a", "b"], "left_anti")
     more = verify(rest, text, similar, shingle, scratch, "more")
