@@ -38,7 +38,7 @@ class Hasher:
     """Word hashes, and hashes of runs of words by differences of prefix sums modulo 2^64."""
 
     def __init__(self):
-        self.memo = C.Memo(lambda words: [xxhash.xxh64_intdigest(w) for w in words])
+        self.memo = C.Memo(lambda words: [xxhash.xxh64_intdigest(w) for w in words], 1_000_000, 64 << 20)
         self.powers()
 
     def powers(self, n: int = 1 << 12) -> None:
