@@ -46,3 +46,7 @@ def test_copies_make_no_pairs(spark):
     e, b = spark.createDataFrame(rows, "ext_id int, author string, title string"), spark.createDataFrame(rows, "work_id int, author string, title string")
     fuzzy = matching.fuzzy_matches(e, b)
     assert {r.ext_id: r.work_id for r in fuzzy.collect()} == {i: 1 - i % 2 for i in range(copies)}
+    made = matching.counted_matches(e, b)
+    assert made.count() == 2 * copies
+    report = matching.match_report(made, e).first()
+    assert (report.total, report.exact, report.fuzzy, report.matched, report.n_rows) == (copies * copies // 2 + copies, copies * copies // 2, copies, copies, copies + 1)
