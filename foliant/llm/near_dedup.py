@@ -3,7 +3,7 @@
 Sets that are 0.8 alike have SimHash fingerprints some 10 bits apart, up to RADIUS: too far for blocks of equal bits, of which
 a shard's key would hold few. Shards are therefore the documents that share one of BANDS keys, each of WIDTH minima of hashed shingles: at a
 similarity of 0.8 that is missed by 1 pair in 5,000. In each shard a BK-tree of the fingerprints follows only edges within the radius;
-documents that it joins are candidates, unless their fingerprints or their sketches (one bit of each of 512 minima) are too far apart, and every candidate is
+documents that it joins are candidates, unless their fingerprints or their sketches (one bit of each of 2048 minima) are too far apart, and every candidate is
 verified on the whole sets. Within a shard's group, documents are first
 compared with the group's least row; what this leaves in different components is compared in turn. Groups are components of rows, so that
 doc_id may repeat or be null. A text of fewer words than a shingle is one shingle; null, empty and blank texts have none and are no one's copies.
@@ -23,8 +23,9 @@ from .suffix_dedup import Hasher
 SIMILAR, SHINGLE, SEED, RADIUS = 0.8, 5, 42, 16
 BANDS, WIDTH = 16, 4
 _DRAW = np.random.default_rng(SEED)
-#: Bits of a document's sketch, in longs, and how many may differ: at a similarity of 0.8 they are 51 of 512 on average, over 72 for 1 pair in 500.
-LONGS, DIFFER = 8, 72
+#: Bits of a document's sketch, in longs, and how many may differ: at a similarity of 0.8 they are 205 of 2048 on average, over 262 for 1 pair in
+#: 48,000. Copies of one original that are less alike than 0.74 hardly pass, so that a large group of them doesn't make all of its pairs.
+LONGS, DIFFER = 32, 262
 FACTORS, ADDED = (_DRAW.integers(0, 2**64, BANDS * WIDTH, np.uint64) | np.uint64(1) for _ in range(2))
 MORE_FACTORS, MORE_ADDED = (_DRAW.integers(0, 2**64, 64 * LONGS, np.uint64) | np.uint64(1) for _ in range(2))
 ROW = C.ROW

@@ -195,3 +195,25 @@ def test_lines_find_similar_ones_of_documents(spark):
     assert len(together) > 40
     print("recall", np.mean(together), len(together))
     assert np.mean(together) >= 0.9
+
+
+def test_near_copies_that_are_not_alike_hardly_make_pairs(spark, monkeypatch):
+    """Sketches keep each pair of sets of similarity 0.8, and few pairs of a large group whose members are less alike."""
+    from foliant.llm import near_dedup
+
+    draw = np.random.default_rng(3)
+    for _ in range(1500):
+        x = draw.integers(0, 2**64, 270, np.uint64)
+        a, b = (near_dedup.sketch(s).view(np.uint64) for s in (x[:243], x[27:]))
+        assert int(np.bitwise_count(a ^ b).sum()) <= near_dedup.DIFFER
+    words = [f"word{k}" for k in range(300)]
+    copies = []
+    for k in range(60):
+        copy = words[:]
+        for i in draw.choice(300, 10, replace=False):
+            copy[i] = f"other{k}x{i}"
+        copies.append((k, " ".join(copy)))
+    made, verify = [], near_dedup.verify
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, *a: (made.append(pairs.distinct().count()), verify(pairs, *a))[1])
+    assert near_dedup.near_copies(spark.createDataFrame(copies, "doc_id long, text string")).count() == 0
+    assert sum(made) <= 250, made
