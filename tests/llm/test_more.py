@@ -217,3 +217,11 @@ def test_near_copies_that_are_not_alike_hardly_make_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "verify", lambda pairs, *a: (made.append(pairs.distinct().count()), verify(pairs, *a))[1])
     assert near_dedup.near_copies(spark.createDataFrame(copies, "doc_id long, text string")).count() == 0
     assert sum(made) <= 250, made
+
+
+def test_lines_with_an_edit_in_every_word_are_linked(spark):
+    """Similar lines that share no word, and short ones of a word or two."""
+    long = "catalogue reviewer northern standard building mountain shoulder language feathers distance keyboard question triangle umbrella vineyard"
+    lines = [long, " ".join(w[:3] + "z" + w[4:] for w in long.split()), "abcdef", "abcdez", "ab cdef", "entirely different words", "abcd", "abce", "x" * 100, "x" * 80 + "y", "x" * 80]
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 8: 8, 9: 8, 10: 8}
