@@ -1,12 +1,14 @@
 """Second computations of the classifier, of packing and of media columns; stages on odd tables; numbers that change between scans."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from foliant.llm import chat, line_dedup, media, packing, quality
+from foliant.llm.common import Scratch
 from foliant.session import table
 
 
@@ -225,3 +227,21 @@ def test_lines_with_an_edit_in_every_word_are_linked(spark):
     lines = [long, " ".join(w[:3] + "z" + w[4:] for w in long.split()), "abcdef", "abcdez", "ab cdef", "entirely different words", "abcd", "abce", "x" * 100, "x" * 80 + "y", "x" * 80]
     got = {r.doc_id: r.keep_doc_id for r in line_dedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 8: 8, 9: 8, 10: 8}
+
+
+def test_lines_that_keys_leave_are_compared_without_copies(spark):
+    """What the last comparison shuffles is a few times its lines, not one copy of them for each part of a band."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=rng.randint(60, 90))) for _ in range(1200)]
+    lines += ["#" + x[1:40] + "#" + x[41:] for x in lines[:50]] + ["ab", "abcdefghij", "abcdefghiz", "x" * 100, "x" * 80, "x" * 79]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").localCheckpoint()
+    known = spark.createDataFrame([(5, 5), (1205, 5)], "node long, component long")
+    jvm = spark.sparkContext._jvm
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    written = lambda: sum(s.shuffleWriteBytes() for s in (x.apply(i) for x in [stages()] for i in range(x.size())))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    got = {(min(r), max(r)) for r in line_dedup.rest_links(df, known, 0.8, Scratch(spark, "rest-test"), "rest").collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == {(i, 1200 + i) for i in range(50) if i != 5} | {(1251, 1252), (1253, 1254), (1254, 1255)}
+    assert 0 < written() - before < 6 * sum(map(len, lines))
